@@ -143,3 +143,33 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     kept = F.col("group_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, one of each group, columns unchanged.
+
+    Rows to drop are few, and named by doc_id and digest; they are looked up in the pass over docs where they are few enough
+    to be broadcast, and joined otherwise. Of rows repeated with the surviving doc_id one stays.
+    """
+    rows = written(fingerprinted(docs), "fingerprints")
+    found = written(groups(docs, rows), "groups")
+    text = docs.columns.index("text")
+    ids = docs.columns.index("doc_id")
+    whole = [f"c{i}" for i in range(len(docs.columns))]
+
+    def tagged(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch.rename_columns(whole), f"c{text}"):
+                plain = normalised(texts)
+                more = [np.array([xxhash.xxh64_intdigest(x) for x in plain], np.uint64).view(np.int64), pc.utf8_length(texts).cast(pa.int64()), pa.array([hashlib.sha256(x).digest() for x in plain], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, more)], names=[*whole, "fp", "n_chars", "sha"])
+
+    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+
+    schema = StructType([*(StructField(w, f.dataType) for w, f in zip(whole, docs.schema, strict=True)), StructField("fp", LongType()), StructField("n_chars", LongType()), StructField("sha", BinaryType())])
+    small = found.count() <= MAX_BROADCAST_GROUPS
+    out = docs.mapInArrow(tagged, schema).join(F.broadcast(found) if small else found, ["fp", "sha"], "left")
+    doc_id = F.col(f"c{ids}")
+    alone = out.where("group_size is null").select(*whole)
+    best = out.where(F.col("group_size").isNotNull() & doc_id.eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).dropDuplicates(["fp", "sha"]).select(*whole)
+    return alone.unionByName(best).toDF(*docs.columns)

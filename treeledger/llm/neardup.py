@@ -310,3 +310,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.join(labels, "id", "left").select("set_id", F.coalesce("label", "id").alias("component"))
     out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its component's, columns unchanged; of rows repeated with that doc_id one stays.
+
+    Rows dropped are named by doc_id: broadcast where they are few enough, joined otherwise.
+    """
+    judged = written(near_duplicates(docs), "judged")
+    gone = written(judged.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    again = written(judged.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("n")).where("n > 1").select("again_id"), "again")
+    few = gone.count() <= MAX_BROADCAST_IDS and again.count() <= MAX_BROADCAST_IDS
+    hint = F.broadcast if few else (lambda x: x)
+    names = docs.columns
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id = F.col(f"c{names.index('doc_id')}")
+    left = rows.join(hint(gone), doc_id == F.col("gone_id"), "left_anti")
+    once = left.join(hint(again), doc_id == F.col("again_id"), "left_anti")
+    if again.isEmpty():
+        return once.toDF(*names)
+    several = left.join(hint(again), doc_id == F.col("again_id"), "left_semi").dropDuplicates([f"c{names.index('doc_id')}"])
+    return once.unionByName(several).toDF(*names)
