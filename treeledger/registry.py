@@ -1,4 +1,8 @@
 """Registered queries and their oracle SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .registered import more  # noqa: F401  registers what it defines
+from .registered.core import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
