@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 DELTA_COLUMNS = {
     "seq": "bigint",
@@ -26,7 +26,7 @@ DELTA_COLUMNS = {
     "committed_by": "string",
     "committed_at_ms": "bigint",
 }
-DELTAS = StructType.fromDDL(", ".join(f"{c} {t}" for c, t in DELTA_COLUMNS.items()))
+DELTAS = StructType([StructField(c, {"bigint": LongType, "string": StringType, "boolean": BooleanType}[t]()) for c, t in DELTA_COLUMNS.items()])
 
 #: Delta kinds.
 CREATE, BIND, UNBIND, REVISE = "create_inode", "bind_direntry", "unbind_direntry", "append_file_revision"
