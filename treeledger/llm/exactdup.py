@@ -96,6 +96,8 @@ def repeated(rows: DataFrame) -> DataFrame:
     def build(batches):
         seen = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
         values, counts = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
+        if not len(values):
+            return
         part = (values >> np.uint64(left)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
         cut = np.flatnonzero(np.diff(part, prepend=-1))
         for lo, hi in zip(cut, np.append(cut[1:], len(values)), strict=True):
