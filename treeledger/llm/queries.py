@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exactdup, langid, neardup, packing, quality, rans, sharding, urlrules
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,4 +68,3 @@ def op10_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_interleaved_shards, op3_url_rules, op4_language, op5_bpe_automaton, op6_chat_format, op7_exact_dedup, op8_near_dedup, op9_packing, op10_rans_files)}
-ORACLES: dict[str, str] = {}
