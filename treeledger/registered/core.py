@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, collect, families, grep, merge, reads, retention, stats, tree
-from ..operators.asof import asof_join, intervals, newest
+from ..operators import changes, families, reads, retention, stats, tree
+from ..operators.asof import asof_join, intervals
 from ..sources import fixture
 from ..sources.shared import stored
 from . import sql

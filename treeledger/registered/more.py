@@ -15,7 +15,7 @@ from ..sources import fixture, log
 from ..sources.shared import folder, stored
 from ..streaming import feed
 from . import sql
-from .core import _CLIMB, _EVENTS, _REV, _SIZES, DEPTH, LATE, MID, PICK, _listed, query
+from .core import _CLIMB, _EVENTS, _REV, _SIZES, DEPTH, MID, PICK, query
 
 # ---- text search
 
