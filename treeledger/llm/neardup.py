@@ -6,11 +6,11 @@ and every chunk is filed under each of its 4 patterns of 3 symbols, which enumer
 distance 31 meet in a bucket (at similarity 0.75 a distance over 31 has probability 2e-5). In a bucket the distance of
 4-bit sketches, which never exceeds the signatures', drops the rest; what remains is confirmed on full sets.
 
-Equal sets are one class before anything else, so copies cost nothing. A bucket of at most 8 classes tries its close pairs;
-a larger one first ties every member to its least one (star). Members that are not yet connected are then tried
-with those of other components in their bucket: the nearest first, at last all that are close, in blocks of bounded
-size. A pair that is already connected is never made, and no link between components is lost. Buckets that hold over a
-thousandth of a sample are salted.
+Equal sets are one class before anything else, so copies cost nothing. Every class first tries its nearest bucket leader (the
+least class of a bucket), then the nearest members of other components in its buckets. What is still close to another
+component is gathered in groups; these are cut into blocks by component and total set size, and each pair of blocks that
+spans components intersects its full sets by inverted lists, putting out links alone. A pair within a component is never
+made, and no link between components is lost. Buckets that hold over a thousandth of a sample are salted.
 
 Defined cases: null, empty and wordless texts have no set, are linked with nothing and stay; texts under 5 words are one
 shingle; repeated rows are equal sets and get the same component; further columns are ignored.
@@ -21,17 +21,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .storage import written
-from .textkit import interned, mapped, raw, split_words, text_slices, windows
+from .textkit import interned, mapped, raw, release, split_words, text_slices, windows
 
 WORDS, PERCENT = 5, 75
 SYMBOLS, CHUNK = 64, 4
 DISTANCE = SYMBOLS // CHUNK * 2 - 1
-SMALL, BLOCK, NEAREST = 8, 2048, 4
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
+#: Members of other components that a class tries before groups are formed.
+NEAREST = 2
 #: A bucket with over this share of the sampled classes (one in SAMPLE) is salted; there are at most 64 / HOT of them.
 HOT, SAMPLE, SALTS = 0.001, 16, 64
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by shuffle.
@@ -95,7 +97,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 _ROW = "key long, salt int, id long, s0 long, s1 long, s2 long, s3 long"
 _FOUND = "kind int, a long, b long, d int, key long, s0 long, s1 long, s2 long, s3 long"
-CLOSE, TIED, MEMBER, LEADER = range(4)
+TIED, MEMBER, LEADER = range(3)
 
 
 def filed(classes: DataFrame) -> DataFrame:
@@ -154,7 +156,8 @@ def _paired(a, b, kind, ids, sketch, keys) -> dict:
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """One sweep over buckets in order of key: close pairs of small ones; stars, members and (salted) leaders of others."""
+    """One sweep over buckets in order of key: ties of close members to the least one, the members of buckets of two or more,
+    and (salted) leaders."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -164,11 +167,11 @@ def bucketed(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c[f.name], f.type) for f in out], schema=out)
 
     def run(batches):
-        held, opened = None, False  # rows of the unfinished bucket; whether its star has begun, then only its least row is held
+        held, opened = None, False  # rows of the unfinished bucket; whether it has begun, then only its least row is held
         for batch in _then_none(batches):
-            if batch is not None and not batch.num_rows:
-                continue
             if batch is not None:
+                if not batch.num_rows:
+                    continue
                 new = _columns(batch)
                 held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
             if held is None:
@@ -176,26 +179,24 @@ def bucketed(rows: DataFrame) -> DataFrame:
             key, salt, ids, sketch = held
             begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))))
             size = np.diff(np.append(begin, len(key)))
-            big = (size > SMALL) | (salt[begin] >= 0)
-            big[0] |= opened
-            done = len(begin) if batch is None else len(begin) - 1
             flush = batch is not None and size[-1] > 4 * BLOCK
-            take = done + flush
-            row_big = np.repeat(big[:take], size[:take])
-            n = len(row_big)
-            group = np.repeat(np.arange(take), size[:take])
-            for step in range(1, SMALL):
-                a = np.flatnonzero(~row_big[: max(0, n - step)] & (group[: max(0, n - step)] == group[step:n]))
-                if len(a):
-                    yield batch_of(_paired(a, a + step, CLOSE, ids, sketch, key))
-            if row_big.any():
-                member = np.flatnonzero(row_big)
+            take = len(begin) if batch is None or flush else len(begin) - 1
+            several = (size > 1) | (salt[begin] >= 0)
+            several[0] |= opened
+            member = np.flatnonzero(np.repeat(several[:take], size[:take]))
+            if len(member):
+                group = np.repeat(np.arange(take), size[:take])
                 lead = begin[group[member]]
                 star = lead != member
-                yield batch_of(_paired(lead[star], member[star], TIED, ids, sketch, key))
-                fresh = member[1:] if opened and row_big[0] else member
+                ties = _paired(lead[star], member[star], TIED, ids, sketch, key)
+                yield batch_of(ties)
+                # a bucket of two that are not close has nothing more to give
+                far = (size[:take] == 2) & (salt[begin[:take]] < 0) & ~np.isin(key[begin[:take]], ties["key"])
+                far[0] &= not opened
+                fresh = member[~far[group[member]]]
+                fresh = fresh[1:] if opened and len(fresh) and fresh[0] == 0 else fresh
                 yield batch_of(_found(MEMBER, ids[fresh], ids[fresh], np.zeros(len(fresh)), key[fresh], sketch[fresh]))
-                first = begin[:take][big[:take] & (salt[begin[:take]] >= 0)]
+                first = begin[:take][salt[begin[:take]] >= 0]
                 first = first[1:] if opened and len(first) and first[0] == 0 else first
                 yield batch_of(_found(LEADER, ids[first], ids[first], np.zeros(len(first)), key[first], sketch[first]))
             if batch is None:
@@ -208,7 +209,10 @@ def bucketed(rows: DataFrame) -> DataFrame:
 
 
 def _then_none(batches):
-    yield from batches
+    """The batches, then None; memory is given back between them."""
+    for batch in batches:
+        yield batch
+        release()
     yield None
 
 
@@ -219,32 +223,25 @@ def hot_keys(classes: DataFrame) -> DataFrame:
     return filed(sample).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key", F.lit(1).alias("hot"))
 
 
-def crossing(members: DataFrame, labels: DataFrame, nearest: int | None) -> DataFrame:
-    """Close pairs a < b of members of one bucket in different components; only each member's nearest if so asked."""
+def _close_across(members: DataFrame, labels: DataFrame, picker, schema: str) -> DataFrame:
+    """Buckets with several components, in blocks of bounded size; picker makes for each task a function that gets ids and the distances (over DISTANCE where not close
+    or of one component) of a part of a block to the whole of another, and gives batches."""
     told = members.join(labels, members["a"] == labels["id"], "left").select("key", F.col("a").alias("id"), F.coalesce("label", "a").alias("label"), "s0", "s1", "s2", "s3")
     mixed_keys = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = told.join(mixed_keys, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "s0", "s1", "s2", "s3")
 
-    def pairs(ids, labels_, own, i, j, sketch):
+    def compared(pick, ids, of, own, i, j, sketch):
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for at in range(0, len(left), 256):
-            part = left[at : at + 256]
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
             d = differing(sketch[part, None, :], sketch[None, right, :])
-            d[(labels_[part, None] == labels_[None, right]) | (d > DISTANCE)] = SYMBOLS + 1
-            if nearest and len(right) > nearest:
-                keep = np.argpartition(d, nearest - 1, 1)[:, :nearest]
-                x, y = np.repeat(np.arange(len(part)), nearest), keep.ravel()
-                ok = d[x, y] <= DISTANCE
-                x, y = x[ok], y[ok]
-            else:
-                x, y = np.nonzero(d <= DISTANCE)
-            a, b = ids[part[x]], ids[right[y]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            d[of[part, None] == of[None, right]] = SYMBOLS + 1
+            yield from pick(ids[part], ids[right], d)
 
     def run(batches):
-        held = None
+        held, pick = None, picker()
         for batch in _then_none(batches):
             if batch is not None:
                 if not batch.num_rows:
@@ -254,19 +251,147 @@ def crossing(members: DataFrame, labels: DataFrame, nearest: int | None) -> Data
                 held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
             if held is None:
                 continue
-            key, i, j, own, ids, labels_, sketch = held
+            key, i, j, own, ids, of, sketch = held
             begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             end = np.append(begin[1:], len(key))
             for s, e in zip(begin, end, strict=True) if batch is None else zip(begin[:-1], end[:-1], strict=True):
-                yield from pairs(ids[s:e], labels_[s:e], own[s:e], i[s], j[s], sketch[s:e])
+                yield from compared(pick, ids[s:e], of[s:e], own[s:e], i[s], j[s], sketch[s:e])
             held = tuple(x[begin[-1] :] for x in held)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own").mapInArrow(run, schema)
+
+
+def nearest_across(members: DataFrame, labels: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """Pairs a < b of close members in different components, each member's nearest."""
+
+    def pick(a, b, d):
+        k = min(nearest, d.shape[1])
+        at = np.argpartition(d, k - 1, 1)[:, :k]
+        x, y = np.repeat(np.arange(len(a)), k), at.ravel()
+        ok = d[x, y] <= DISTANCE
+        x, y = x[ok], y[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[y]), pa.array(d[x, y].astype(np.int32))], names=["a", "b", "d"])
+
+    found = _close_across(members, labels, lambda: pick, "a long, b long, d int").distinct()
+    each = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("place") <= nearest)
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def gathered(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges u, v that connect all members which are close across components; of each task a forest, so fewer than its members."""
+
+    def picker():
+        node: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            node.setdefault(i, i)
+            while node[i] != i:
+                node[i] = node[node[i]]
+                i = node[i]
+            return i
+
+        def pick(a, b, d):
+            u, v = [], []
+            for r, c in _spanning(d <= DISTANCE):
+                p, q = int(a[r]), int(b[c])
+                x, y = root(p), root(q)
+                if x != y:
+                    node[x] = y
+                    u.append(p)
+                    v.append(q)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        return pick
+
+    return _close_across(members, labels, picker, "u long, v long").distinct()
+
+
+def _spanning(close: np.ndarray):
+    """Places of a matrix that connect its rows and columns as all its true places do: one each for a column's first row, and for
+    every pair of a row and an earlier row with a column in common."""
+    first = np.full(close.shape[1], -1)
+    for r in np.flatnonzero(close.any(1)):
+        c = np.flatnonzero(close[r])
+        fresh = first[c] < 0
+        first[c[fresh]] = r
+        yield from ((r, k) for k in c[fresh])
+        _, at = np.unique(first[c[~fresh]], return_index=True)
+        yield from ((r, k) for k in c[~fresh][at])
+
+
+def _inverted_links(table: dict, out: list) -> None:
+    """Links between the left and the right rows of a pair of blocks: one a right row and component it links to."""
+    left = [i for i, s in enumerate(table["side"]) if s <= 1]
+    right = [i for i, s in enumerate(table["side"]) if s >= 1]
+    if not left or not right:
+        return
+    sets, of, ids = table["set"], table["label"], table["id"]
+    size = np.array([len(sets[i]) for i in left])
+    flat, owner = np.concatenate([sets[i] for i in left]), np.repeat(np.arange(len(left)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    of_left, ids_left = np.array([of[i] for i in left]), np.array([ids[i] for i in left])
+    for r in right:
+        lo, hi = np.searchsorted(flat, sets[r], "left"), np.searchsorted(flat, sets[r], "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(left))
+        link = np.flatnonzero((100 * shared >= PERCENT * (size + len(sets[r]) - shared)) & (of_left != of[r]))
+        if len(link):
+            first = link[np.unique(of_left[link], return_index=True)[1]]
+            out += [(int(ids_left[i]), int(ids[r])) for i in first]
+
+
+def _rows(batch: pa.RecordBatch):
+    """Rows of six plain columns and a list column; lists are views of the batch."""
+    plain = [batch.column(i).to_pylist() for i in range(6)]
+    lists = batch.column(6)
+    values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for r in range(batch.num_rows):
+        yield *(c[r] for c in plain), values[offsets[r] : offsets[r + 1]].copy()
+
+
+def linked_across(edges: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """All components that are linked, of the members gathered: edges u, v confirmed on full sets."""
+    groups = written(components(edges), "groups").select("id", F.col("label").alias("grp"))
+    sets = set_table(groups.select(F.col("id").alias("doc_id")), docs).select(F.col("doc_id").alias("id"), "set", F.size("set").cast("long").alias("n"))
+    nodes = written(groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(sets.select("id", "n"), "id"), "nodes")
+    big = nodes.groupBy("grp", "label").agg(F.sum("n").alias("n_label")).where(F.col("n_label") > BLOCK_SHINGLES // 2)
+    told = nodes.join(big, ["grp", "label"], "left")
+    small = told.where("n_label is null").groupBy("grp").agg(F.sum("n").alias("n_small"))
+    parts = F.ceil(F.coalesce("n_label", "n_small") / BLOCK_SHINGLES)
+    # a large component has blocks of its own, the others share blocks whole
+    block = F.concat_ws("/", F.when(F.col("n_label").isNotNull(), F.col("label").cast("string")).otherwise(F.lit("")), F.pmod(F.xxhash64(F.when(F.col("n_label").isNotNull(), F.col("id")).otherwise(F.col("label"))), parts).cast("string"))
+    placed = written(told.join(small, "grp", "left").select("grp", "id", "label", block.alias("block")), "blocks")
+    blocks = placed.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    other = blocks.select("grp", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = blocks.join(other, "grp").where("block <= other and (lo <> lo2 or hi <> hi2 or lo <> hi)").select("grp", "block", "other")
+    sides = pairs.select("grp", "block", "other", F.col("block").alias("mine")).unionByName(pairs.where("block <> other").select("grp", "block", "other", F.col("other").alias("mine")))
+    side = F.when(F.col("block") == F.col("other"), 1).when(F.col("mine") == F.col("block"), 0).otherwise(2)
+    rows = sides.join(placed.withColumnRenamed("block", "mine"), ["grp", "mine"]).join(sets.select("id", "set"), "id").select("grp", "block", "other", side.alias("side"), "id", "label", "set")
 
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough, as edges u, v."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    def run(batches):
+        key, held = None, None
+        for batch in _then_none(batches):
+            out: list = []
+            for row in _rows(batch) if batch is not None else [None]:
+                if row is None or row[:3] != key:
+                    if held:
+                        _inverted_links(held, out)
+                    if row is None:
+                        break
+                    key, held = row[:3], {"side": [], "id": [], "label": [], "set": []}
+                for name, value in zip(held, row[3:], strict=True):
+                    held[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return rows.repartition("grp", "block", "other").sortWithinPartitions("grp", "block", "other").mapInArrow(run, "u long, v long")
+
+
+def set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, set of the given documents (column doc_id) that have one. Their texts are read again; sets of all are never kept."""
+    ids = written(ids.distinct(), "ids")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id")
 
     def work(batch):
@@ -276,7 +401,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield {"doc_id": part.column(0), "set": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))}
 
-    sets = written(mapped(texts, work, "doc_id long, set array<bigint>"), "sets").where("size(set) > 0")
+    return written(mapped(texts, work, "doc_id long, set array<bigint>"), "sets").where("size(set) > 0")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full sets are similar enough, as edges u, v."""
+    sets = set_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs)
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
@@ -292,21 +422,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = ("key", "salt", "id")
     found = written(bucketed(salted.select("key", "salt", "id", "s0", "s1", "s2", "s3").repartition("key", "salt").sortWithinPartitions(*order)), "buckets")
     leaders = found.where(f"kind = {LEADER}").select("key", F.lit(-1).alias("salt"), F.col("a").alias("id"), "s0", "s1", "s2", "s3")
-    over = written(bucketed(leaders.repartition("key").sortWithinPartitions(*order)), "buckets").where(f"kind in ({CLOSE}, {TIED})")
-    links = found.where(f"kind in ({CLOSE}, {TIED})").unionByName(over).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
-    nearest = links.where(f"kind = {TIED}").groupBy(F.col("b").alias("o")).agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), F.col("o").alias("b"))
-    pairs = written(links.where(f"kind = {CLOSE}").select("a", "b").unionByName(nearest).distinct(), "pairs")
-    tried, edges = pairs, written(confirmed(pairs, docs), "links")
+    over = written(bucketed(leaders.repartition("key").sortWithinPartitions(*order)), "buckets").where(f"kind = {TIED}")
+    ties = found.where(f"kind = {TIED}").unionByName(over)
+    tried = written(ties.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
+    edges = written(confirmed(tried, docs), "links")
     labels = written(components(edges), "labels")
     members = found.where(f"kind = {MEMBER}").select("key", "a", "s0", "s1", "s2", "s3")
-    for near in (NEAREST, None):
-        pairs = written(crossing(members, labels, near).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = written(confirmed(pairs, docs), "links")
-        tried = tried.unionByName(pairs)
-        if not more.isEmpty():
-            labels = written(components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more)), "labels")
+    both = lambda more: components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more))
+    pairs = written(nearest_across(members, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        labels = written(both(confirmed(pairs, docs)), "labels")
+        close = written(gathered(members, labels), "close")
+        if not close.isEmpty():
+            labels = written(both(linked_across(close, labels, docs)), "labels")
     named = classes.join(labels, "id", "left").select("set_id", F.coalesce("label", "id").alias("component"))
     out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

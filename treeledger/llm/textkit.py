@@ -6,6 +6,7 @@ All functions work on one Arrow batch at a time; none keeps a document. Words ar
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step looks at; bounds the temporary arrays of a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -77,6 +78,19 @@ def windows(n_words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return offsets[doc] + inside, doc
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Gives freed memory back; a Python worker lives on through many stages, and its peaks would add up over workers."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def mapped(frame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str):
     """mapInArrow over text slices: work gives columns by name for each slice."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,5 +103,6 @@ def mapped(frame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str)
         for batch in batches:
             for columns in work(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+            release()
 
     return frame.mapInArrow(run, kind)
