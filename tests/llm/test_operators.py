@@ -10,7 +10,6 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from treeledger.llm import bpe, chat, exactdup, langid, neardup, packing, presplit, quality, rans, sharding, urlrules
@@ -256,6 +255,21 @@ def test_near_dedup(spark, sf, docs, rows, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
+    from treeledger.llm.components import components
+
+    random.seed(8)
+    pairs = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7)]
+    label = {i: i for p in pairs for i in p}
+    for _ in range(60):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    linked = {i for a, b in pairs if a != b for i in (a, b)}
+    got = {r["id"]: r["label"] for r in components(spark.createDataFrame(pairs, "u long, v long"), one_task).collect()}
+    assert got == {i: label[i] for i in linked}
+
+
 def test_pigeonhole_finds_every_pair_within_the_distance():
     rng = np.random.default_rng(5)
     for _ in range(200):
