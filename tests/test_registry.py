@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from treeledger import registry
@@ -13,7 +14,7 @@ CHECKED = ["ledger_deltas", "paths_at", "listdir_at", "effective_rights", "inode
 
 
 def rows(frame):
-    plain = lambda v: "~" if v is None or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+    plain = lambda v: "~" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
 
