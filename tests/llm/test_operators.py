@@ -97,10 +97,12 @@ def test_shards(docs, rows, empty):
     assert sharding.interleaved(empty).count() == 0
 
 
-def test_urls(spark):
-    rules = [("com", "/en/", "block"), ("a.com", "/en/7", "allow"), ("a.com", "/", "block"), ("b.a.com", "/en/7", "block"), ("b.a.com", "/en/7", "allow"), ("net", "", "block")]
+@pytest.mark.parametrize("max_paths", [1 << 16, 1])
+def test_urls(spark, max_paths):
+    rules = [("com", "/en/", "block"), ("A.com", "/en/7", "allow"), ("a.com", "/", "block"), ("b.a.com", "/en/7", "block"), ("b.a.com", "/en/7", "allow"), ("net", "", "block"), ("b.a.com", "/en/78", "allow"), ("com", "/en", "allow")]
+    silent = [(None, "/", "block"), ("org", None, "block"), ("com", "/", None), ("", "/", "block")]
     random.seed(2)
-    hosts = ["com", "a.com", "b.a.com", "x.b.a.com", "ba.com", "NET", "x.net", "", "a.com:80", "a..com"]
+    hosts = ["com", "a.com", "b.a.com", "x.b.a.com", "ba.com", "NET", "x.net", "", "a.com:80", "a..com", "q.org"]
     urls = [None, "nothing", "://", "http://a.com", "http://A.com/en/7?x", "x://com/en/#y://b.a.com/en/7"] + [f"http://{random.choice(hosts)}{random.choice(['', '/', '/en/', '/en/7', '/en/78/x', '/de/'])}{random.choice(['', '?q=/en/', '#f'])}" for _ in range(400)]
     pages = spark.createDataFrame([(i % 390, u, "h", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, part int")
 
@@ -108,13 +110,14 @@ def test_urls(spark):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = re.match(r"[^/?#]*", rest)[0]
         path, host = re.match(r"[^?#]*", rest[len(host) :])[0], host.translate({c: c + 32 for c in range(65, 91)})
-        fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in [*rules, ("org", "", "block")] if (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
         return host, path, *((max(fits)[3:]) if fits else (None, "allow"))
 
-    table = spark.createDataFrame(rules, "host string, path string, verdict string")
-    got = Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.url_filter(pages, table).collect())
+    table = spark.createDataFrame(rules + silent, "host string, path string, verdict string")
+    got = Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.url_filter(pages, table, max_paths=max_paths).collect())
     assert got == Counter((i % 390, *want(u)) for i, u in enumerate(urls))
     assert urlrules.url_filter(pages.where("false"), table).count() == 0
+    assert {r["verdict"] for r in urlrules.url_filter(pages, table.where("false")).collect()} == {"allow"}
 
 
 def test_language(docs, empty, sf, spark):
