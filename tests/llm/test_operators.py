@@ -147,11 +147,33 @@ def test_bpe_automaton(docs, rows, empty):
     assert bpe.digests(empty, WORDS).count() == 0
 
 
+MERGES = [("a", "a"), ("b", "a"), ("aa", "a"), ("aa", "ba"), ("b", "aa"), ("c", "c"), ("aaba", "cc"), ("cc", "b"), ("a", "baa")]
+
+
+def written_out(base, merges):
+    """The automaton by the letter: every state with all its arcs."""
+    states = [dict.fromkeys(base, 0)]
+    for a, b in merges:
+        p = next((q[a] for q in states if a in q), None)
+        if p is None or b not in states[p]:
+            continue
+        r = states[p][b]
+        states.append({x: q for x, q in states[p].items() if x != b})
+        for q in states:
+            if a in q:
+                q[a] = len(states) - 1
+                q[a + b] = r
+    return states
+
+
 def test_gadgets_on_a_small_alphabet():
-    merges = [("a", "a"), ("b", "a"), ("aa", "a"), ("aa", "ba"), ("b", "aa")]
-    ids = {s: i for i, s in enumerate(["a", "b", "c", *(x + y for x, y in merges)])}
-    auto = bpe.MergeAutomaton(ids, merges)
-    rank = {m: i for i, m in enumerate(merges)}
+    ids = {s: i for i, s in enumerate(["a", "b", "c", *(x + y for x, y in MERGES)])}
+    auto = bpe.MergeAutomaton(ids, MERGES)
+    rank = {m: i for i, m in enumerate(MERGES)}
+    states = written_out("abc", MERGES)
+    assert auto.states == len(states) and len(auto.row) < auto.states  # some states are left behind by later splits
+    for q in {0, *auto.target.values()}:
+        assert {x: r for x, i in ids.items() if i in auto.target and (r := auto.step(q, i)) is not None} == states[q]
 
     def slow(w):
         s = list(w)
@@ -161,7 +183,31 @@ def test_gadgets_on_a_small_alphabet():
 
     for n in range(3**8):
         w = "".join("abc"[n // 3**k % 3] for k in range(8))
-        assert auto.decode(auto.encode(w)) == slow(w)
+        labels = auto.encode(w)
+        assert auto.decode(labels) == slow(w)
+        q = 0
+        for x in labels:  # the labels are a path of the table
+            q = auto.step(q, x)
+        assert q is not None
+
+
+def test_automaton_of_the_vocabulary():
+    auto, lib = bpe.compiled(WORDS), library(WORDS)
+    assert auto.states == 1 + sum(len(x) for x in auto._splits.values()) > 40_000 and len(auto.row) < auto.states
+    assert len(auto.bounds) < 2_000_000 and all(auto.row[q] <= auto.row_end[q] <= len(auto.bounds) for q in auto.row)
+    random.seed(9)
+    tables, byte = bpe.ByteTables(auto), {c: b for b, c in enumerate(bpe.byte_alphabet())}
+    texts = [n.removesuffix("</w>") for i, n in auto.names.items() if not n.startswith("<|")]
+    for _ in range(3000):
+        w = "".join(random.choice(texts) for _ in range(random.randint(1, 4)))
+        ids = auto.encode(w)
+        assert ids == [t.id for t in lib.model.tokenize(w)]
+        q = 0
+        for x in ids:
+            assert (q := auto.step(q, x)) is not None
+        if len(w) <= tables.WIDTH:
+            assert tables.encode([bytes(byte[c] for c in w)] * 2) == [ids, ids]
+    assert tables.encode([]) == []
 
 
 def test_presplit_covers_the_text():
@@ -203,6 +249,39 @@ def test_templates_are_black_boxes():
     assert chat.located([("user", "long"), ("assistant", "x")], last_only)[3]
 
 
+def _tail(turns, most=30):
+    """Forgets the oldest turns of a long conversation."""
+    return "<s>" + "".join(f"[{r}]{t}\n" for r, t in turns[-most:])
+
+
+def _numbered(turns):
+    return "".join(f"{i}[{r}]{t}\n" for i, (r, t) in enumerate(turns))
+
+
+_numbered.context = 2
+
+
+def _bos(turns):
+    return "<s>" + "".join(f"[{r}]{t}\n" for r, t in turns)
+
+
+_bos.context = 3
+
+
+def test_rewritten_history_is_seen_far_back(spark):
+    turns = [("user" if k % 2 else "assistant", f"say {k}") for k in range(200)]
+    table = spark.createDataFrame([(c, k, *t) for c, n in ((1, 40), (2, 30), (3, 200)) for k, t in enumerate(turns[:n])], "conv_id long, turn long, role string, text string")
+    marked = lambda template: {r["conv_id"] for r in chat.formatted(table, template).collect() if r["rewritten"]}
+    assert marked(_tail) == {1, 3}  # states no context: whole prefixes
+    assert marked(_numbered) == {1, 2, 3}  # states a context that isn't true
+    assert marked(_bos) == set() and marked(lambda turns: _bos(turns)) == set()
+    for template in (_bos, lambda turns: _bos(turns)):
+        got = chat.formatted(table, template).where("conv_id = 3").orderBy("stretch", "chunk").collect()
+        assert "".join(r["formatted"] for r in got) == _bos(turns)
+        assert [r["formatted"][m["start"] : m["end"]] for r in got for m in r["mask"]] == [t for r, t in turns if r == "assistant"]
+        assert sum(len(r["spans"]) for r in got) == 200
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = defaultdict(list)
     for i, t, *_ in rows:
