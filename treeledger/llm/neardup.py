@@ -6,18 +6,25 @@ and every chunk is filed under each of its 4 patterns of 3 symbols, which enumer
 distance 31 meet in a bucket (at similarity 0.75 a distance over 31 has probability 2e-5). In a bucket the distance of
 4-bit sketches, which never exceeds the signatures', drops the rest; what remains is confirmed on full sets.
 
-Equal sets are one class before anything else, so copies cost nothing. Every class first tries its nearest bucket leader (the
-least class of a bucket), then the nearest members of other components in its buckets. What is still close to another
-component is gathered in groups; these are cut into blocks by component and total set size, and each pair of blocks that
-spans components intersects its full sets by inverted lists, putting out links alone. A pair within a component is never
-made, and no link between components is lost. Buckets that hold over a thousandth of a sample are salted.
-
-Defined cases: null, empty and wordless texts have no set, are linked with nothing and stay; texts under 5 words are one
-shingle; repeated rows are equal sets and get the same component; further columns are ignored.
+Equal sets are one class before anything else, so copies cost nothing. Every class first tries its nearest bucket leader
+(the least class of a bucket); buckets that hold over a thousandth of a sample are salted. What the links found leave
+apart, though a bucket has them together, is suspect: members of small buckets that are within the distance of another
+component's, and all members of mixed larger ones. Among suspects pairs come from their sets' rarest shingles. In one order of all
+shingles (frequent ones last), sets of n and m <= n shingles that are similar enough share one of the first n - ceil(3n/4) + 1
+of the larger and one of the first m - ceil(6m/7) + 1 of the smaller; sizes, the places of the shared shingle, and the sketches drop more. So texts with a
+common passage but too little in common are never paired, however many they are. First each suspect tries its nearest
+partners; then every pair left between components is confirmed, and no link between them is lost.
+
+Rows are told apart by doc_id and text. Defined cases: null, empty and wordless texts have no set, are linked with
+nothing and stay; texts under 5 words are one shingle; repeated rows are equal sets and get the same component; rows of
+one doc_id with different texts are classes each, and kept or not each; a null doc_id is linked with nothing unless its set equals another's;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,9 +38,14 @@ from .textkit import interned, mapped, raw, release, split_words, text_slices, w
 WORDS, PERCENT = 5, 75
 SYMBOLS, CHUNK = 64, 4
 DISTANCE = SYMBOLS // CHUNK * 2 - 1
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
-#: Members of other components that a class tries before groups are formed.
+#: Rows of an unfinished bucket that a task holds.
+BLOCK = 2048
+#: Partners of other components that a suspect tries first.
 NEAREST = 2
+#: A mixed bucket of more classes is suspect as a whole.
+SMALL_BUCKET = 256
+#: A shingle that more suspects have is frequent (more where over MAX_FREQUENT would be); a list of more rows is cut into blocks.
+FREQUENT, MAX_FREQUENT, LIST = 64, 500_000, 4096
 #: A bucket with over this share of the sampled classes (one in SAMPLE) is salted; there are at most 64 / HOT of them.
 HOT, SAMPLE, SALTS = 0.001, 16, 64
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by shuffle.
@@ -84,15 +96,19 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(48)).astype(np.uint16)
 
 
+def text_id(text) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set; null without one) and symbols of every row."""
+    """doc_id, text_id, n_shingles, set_id (digest of the set; null without one) and symbols of every row."""
 
     def work(batch):
         for part, texts in text_slices(batch):
             sets = shingle_sets(texts)
-            yield {"doc_id": part.column(0), "n_shingles": [len(s) for s in sets], "set_id": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), "symbols": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())}
+            yield {"doc_id": part.column(0), "text_id": part.column(2), "n_shingles": [len(s) for s in sets], "set_id": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), "symbols": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())}
 
-    return mapped(docs.select("doc_id", "text"), work, "doc_id long, n_shingles long, set_id binary, symbols binary")
+    return mapped(docs.select("doc_id", "text", text_id(F.col("text")).alias("text_id")), work, "doc_id long, text_id long, n_shingles long, set_id binary, symbols binary")
 
 
 _ROW = "key long, salt int, id long, s0 long, s1 long, s2 long, s3 long"
@@ -100,6 +116,14 @@ _FOUND = "kind int, a long, b long, d int, key long, s0 long, s1 long, s2 long,
 TIED, MEMBER, LEADER = range(3)
 
 
+def sketches(sym: np.ndarray) -> list[np.ndarray]:
+    """The low 4 bits of every symbol, 16 symbols a word."""
+    out = [np.zeros(len(sym), np.uint64) for _ in range(4)]
+    for k in range(SYMBOLS):
+        out[k // 16] |= (sym[:, k].astype(np.uint64) & np.uint64(15)) << np.uint64(4 * (k % 16))
+    return out
+
+
 def filed(classes: DataFrame) -> DataFrame:
     """A row for each class and pattern of each chunk: bucket key, id and sketch."""
 
@@ -108,9 +132,7 @@ def filed(classes: DataFrame) -> DataFrame:
         if not n:
             return
         sym = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, SYMBOLS).astype(np.uint64)
-        sketch = [np.zeros(n, np.uint64) for _ in range(4)]
-        for k in range(SYMBOLS):
-            sketch[k // 16] |= (sym[:, k] & np.uint64(15)) << np.uint64(4 * (k % 16))
+        sketch = sketches(sym)
         keys = []
         for c in range(0, SYMBOLS, CHUNK):
             for gone in range(CHUNK):
@@ -223,200 +245,211 @@ def hot_keys(classes: DataFrame) -> DataFrame:
     return filed(sample).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key", F.lit(1).alias("hot"))
 
 
-def _close_across(members: DataFrame, labels: DataFrame, picker, schema: str) -> DataFrame:
-    """Buckets with several components, in blocks of bounded size; picker makes for each task a function that gets ids and the distances (over DISTANCE where not close
-    or of one component) of a part of a block to the whole of another, and gives batches."""
+def _groups(batches, columns: Callable, same: Callable):
+    """Arrays of whole groups: the columns of the batches up to the last group that may go on, which is held back."""
+    held = None
+    for batch in _then_none(batches):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = columns(batch)
+            held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
+        if held is None:
+            continue
+        begin = np.flatnonzero(np.concatenate(([True], ~same(held))))
+        if batch is None:
+            yield held, begin, np.diff(np.append(begin, len(held[0])))
+            return
+        last = begin[-1]
+        if last:
+            yield tuple(x[:last] for x in held), begin[:-1], np.diff(begin)
+            held = tuple(x[last:] for x in held)
+
+
+def _squares(begin: np.ndarray, size: np.ndarray, cells: int = 1 << 19):
+    """Places of the left and of the right members of all groups of two or more: matrices with a row a group, groups of one size
+    together, at most about so many pairs at a time."""
+    for k in np.unique(size[size > 1]):
+        at = begin[size == k]
+        if k * k <= cells:
+            step = max(1, cells // int(k * k))
+            for lo in range(0, len(at), step):
+                own = at[lo : lo + step, None] + np.arange(k)
+                yield own, own
+        else:
+            step = max(1, cells // int(k))
+            for one in at:
+                for lo in range(0, k, step):
+                    yield one + np.arange(lo, min(k, lo + step))[None, :], one + np.arange(k)[None, :]
+
+
+def suspects(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """id of the classes that a bucket has together with a close class of another component. In a bucket of over SMALL_BUCKET
+    classes all count as close, so that no bucket is compared all against all."""
     told = members.join(labels, members["a"] == labels["id"], "left").select("key", F.col("a").alias("id"), F.coalesce("label", "a").alias("label"), "s0", "s1", "s2", "s3")
-    mixed_keys = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = told.join(mixed_keys, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "s0", "s1", "s2", "s3")
-
-    def compared(pick, ids, of, own, i, j, sketch):
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for at in range(0, len(left), 64):
-            part = left[at : at + 64]
-            d = differing(sketch[part, None, :], sketch[None, right, :])
-            d[of[part, None] == of[None, right]] = SYMBOLS + 1
-            yield from pick(ids[part], ids[right], d)
+    mixed_keys = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    rows = written(told.join(mixed_keys, "key"), "mixed")
+
+    def columns(batch):
+        c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        return (*c[:3], np.stack([x.view(np.uint64) for x in c[3:]], 1))
 
     def run(batches):
-        held, pick = None, picker()
-        for batch in _then_none(batches):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(10)]
-                new = (*c[:6], np.stack([x.view(np.uint64) for x in c[6:]], 1))
-                held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
-            if held is None:
-                continue
-            key, i, j, own, ids, of, sketch = held
-            begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-            end = np.append(begin[1:], len(key))
-            for s, e in zip(begin, end, strict=True) if batch is None else zip(begin[:-1], end[:-1], strict=True):
-                yield from compared(pick, ids[s:e], of[s:e], own[s:e], i[s], j[s], sketch[s:e])
-            held = tuple(x[begin[-1] :] for x in held)
+        for (_, ids, of, sketch), begin, size in _groups(batches, columns, lambda h: h[0][1:] == h[0][:-1]):
+            found = []
+            for left, right in _squares(begin, size):
+                close = differing(sketch[left][:, :, None, :], sketch[right][:, None, :, :]) <= DISTANCE
+                close &= of[left][:, :, None] != of[right][:, None, :]
+                found.append(ids[left[close.any(2)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))], names=["id"])
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own").mapInArrow(run, schema)
+    small = rows.where(F.col("n") <= SMALL_BUCKET).select("key", "id", "label", "s0", "s1", "s2", "s3").repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long")
+    return small.unionByName(rows.where(F.col("n") > SMALL_BUCKET).select("id")).distinct()
 
 
-def nearest_across(members: DataFrame, labels: DataFrame, nearest: int = NEAREST) -> DataFrame:
-    """Pairs a < b of close members in different components, each member's nearest."""
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that very many sets have, sorted, and how many do; at most MAX_FREQUENT."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    least = max(FREQUENT, total // MAX_FREQUENT)
+    rows = sets.select(F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > least).toArrow()
+    shingle, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
 
-    def pick(a, b, d):
-        k = min(nearest, d.shape[1])
-        at = np.argpartition(d, k - 1, 1)[:, :k]
-        x, y = np.repeat(np.arange(len(a)), k), at.ravel()
-        ok = d[x, y] <= DISTANCE
-        x, y = x[ok], y[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[y]), pa.array(d[x, y].astype(np.int32))], names=["a", "b", "d"])
 
-    found = _close_across(members, labels, lambda: pick, "a long, b long, d int").distinct()
-    each = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    each = each.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("place") <= nearest)
-    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def prefix_sizes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its rarest shingles a set of n looks up, and how many of them the larger sets find it by."""
+    return n + 1 - -(-PERCENT * n // 100), n + 1 - -(-2 * PERCENT * n // (100 + PERCENT))
 
 
-def gathered(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges u, v that connect all members which are close across components; of each task a forest, so fewer than its members."""
-
-    def picker():
-        node: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            node.setdefault(i, i)
-            while node[i] != i:
-                node[i] = node[node[i]]
-                i = node[i]
-            return i
-
-        def pick(a, b, d):
-            u, v = [], []
-            for r, c in _spanning(d <= DISTANCE):
-                p, q = int(a[r]), int(b[c])
-                x, y = root(p), root(q)
-                if x != y:
-                    node[x] = y
-                    u.append(p)
-                    v.append(q)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        return pick
-
-    return _close_across(members, labels, picker, "u long, v long").distinct()
-
-
-def _spanning(close: np.ndarray):
-    """Places of a matrix that connect its rows and columns as all its true places do: one each for a column's first row, and for
-    every pair of a row and an earlier row with a column in common."""
-    first = np.full(close.shape[1], -1)
-    for r in np.flatnonzero(close.any(1)):
-        c = np.flatnonzero(close[r])
-        fresh = first[c] < 0
-        first[c[fresh]] = r
-        yield from ((r, k) for k in c[fresh])
-        _, at = np.unique(first[c[~fresh]], return_index=True)
-        yield from ((r, k) for k in c[~fresh][at])
-
-
-def _inverted_links(table: dict, out: list) -> None:
-    """Links between the left and the right rows of a pair of blocks: one a right row and component it links to."""
-    left = [i for i, s in enumerate(table["side"]) if s <= 1]
-    right = [i for i, s in enumerate(table["side"]) if s >= 1]
-    if not left or not right:
-        return
-    sets, of, ids = table["set"], table["label"], table["id"]
-    size = np.array([len(sets[i]) for i in left])
-    flat, owner = np.concatenate([sets[i] for i in left]), np.repeat(np.arange(len(left)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    of_left, ids_left = np.array([of[i] for i in left]), np.array([ids[i] for i in left])
-    for r in right:
-        lo, hi = np.searchsorted(flat, sets[r], "left"), np.searchsorted(flat, sets[r], "right")
-        n = hi - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shared = np.bincount(owner[at], minlength=len(left))
-        link = np.flatnonzero((100 * shared >= PERCENT * (size + len(sets[r]) - shared)) & (of_left != of[r]))
-        if len(link):
-            first = link[np.unique(of_left[link], return_index=True)[1]]
-            out += [(int(ids_left[i]), int(ids[r])) for i in first]
-
-
-def _rows(batch: pa.RecordBatch):
-    """Rows of six plain columns and a list column; lists are views of the batch."""
-    plain = [batch.column(i).to_pylist() for i in range(6)]
-    lists = batch.column(6)
-    values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    for r in range(batch.num_rows):
-        yield *(c[r] for c in plain), values[offsets[r] : offsets[r + 1]].copy()
-
-
-def linked_across(edges: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """All components that are linked, of the members gathered: edges u, v confirmed on full sets."""
-    groups = written(components(edges), "groups").select("id", F.col("label").alias("grp"))
-    sets = set_table(groups.select(F.col("id").alias("doc_id")), docs).select(F.col("doc_id").alias("id"), "set", F.size("set").cast("long").alias("n"))
-    nodes = written(groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(sets.select("id", "n"), "id"), "nodes")
-    big = nodes.groupBy("grp", "label").agg(F.sum("n").alias("n_label")).where(F.col("n_label") > BLOCK_SHINGLES // 2)
-    told = nodes.join(big, ["grp", "label"], "left")
-    small = told.where("n_label is null").groupBy("grp").agg(F.sum("n").alias("n_small"))
-    parts = F.ceil(F.coalesce("n_label", "n_small") / BLOCK_SHINGLES)
-    # a large component has blocks of its own, the others share blocks whole
-    block = F.concat_ws("/", F.when(F.col("n_label").isNotNull(), F.col("label").cast("string")).otherwise(F.lit("")), F.pmod(F.xxhash64(F.when(F.col("n_label").isNotNull(), F.col("id")).otherwise(F.col("label"))), parts).cast("string"))
-    placed = written(told.join(small, "grp", "left").select("grp", "id", "label", block.alias("block")), "blocks")
-    blocks = placed.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    other = blocks.select("grp", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = blocks.join(other, "grp").where("block <= other and (lo <> lo2 or hi <> hi2 or lo <> hi)").select("grp", "block", "other")
-    sides = pairs.select("grp", "block", "other", F.col("block").alias("mine")).unionByName(pairs.where("block <> other").select("grp", "block", "other", F.col("other").alias("mine")))
-    side = F.when(F.col("block") == F.col("other"), 1).when(F.col("mine") == F.col("block"), 0).otherwise(2)
-    rows = sides.join(placed.withColumnRenamed("block", "mine"), ["grp", "mine"]).join(sets.select("id", "set"), "id").select("grp", "block", "other", side.alias("side"), "id", "label", "set")
+_PREFIX = "shingle long, id long, n int, place int, s0 long, s1 long, s2 long, s3 long"
 
-    def run(batches):
-        key, held = None, None
-        for batch in _then_none(batches):
-            out: list = []
-            for row in _rows(batch) if batch is not None else [None]:
-                if row is None or row[:3] != key:
-                    if held:
-                        _inverted_links(held, out)
-                    if row is None:
-                        break
-                    key, held = row[:3], {"side": [], "id": [], "label": [], "set": []}
-                for name, value in zip(held, row[3:], strict=True):
-                    held[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return rows.repartition("grp", "block", "other").sortWithinPartitions("grp", "block", "other").mapInArrow(run, "u long, v long")
+def prefixes(sets: DataFrame) -> DataFrame:
+    """A row for each of the rarest shingles of every set (id, set, n, symbols), with its place in the set's order."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent(sets))
+
+    def work(batch):
+        common, count = shared.value
+        names = batch.schema.names
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            lists = part.column(names.index("set"))
+            flat, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
+            weight = np.where(common[at] == flat, count[at], 0) if len(common) else np.zeros(len(flat), np.int64)
+            flat = flat[np.lexsort((flat, weight, doc))]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            on = np.flatnonzero(place < prefix_sizes(n)[0][doc])
+            sym = np.frombuffer(b"".join(part.column(names.index("symbols")).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            sketch = sketches(sym)
+            yield {"shingle": flat[on], "id": part.column(names.index("id")).to_numpy(zero_copy_only=False)[doc[on]], "n": n[doc[on]], "place": place[on]} | {f"s{i}": sketch[i][doc[on]].view(np.int64) for i in range(4)}
+
+    return mapped(sets.select("id", "set", "symbols"), work, _PREFIX)
+
+
+#: Rows of a list that stand for both sides of its pairs, or, where it is cut into blocks, for one of them.
+BOTH, LEFT, RIGHT = range(3)
+
+
+def rare_pairs(rows: DataFrame, labels: DataFrame, nearest: int | None = None) -> DataFrame:
+    """Pairs a < b of suspects in different components that share a rarest shingle and may be similar enough; ``nearest``: only so
+    many for each suspect, the closest first. In the list of a shingle those for which it is among the first 1/7 (the left side) meet those
+    that are as long or longer; a list without the former pairs nobody."""
+    looks = F.col("place") < F.col("n") + 1 - F.expr(f"({2 * PERCENT} * n + {100 + PERCENT - 1}) div {100 + PERCENT}")
+    lists = rows.groupBy("shingle").agg(F.count("*").alias("n_right"), F.sum(looks.cast("long")).alias("n_left")).where(F.col("n_right") > LIST)
+    lists = written(lists.select("shingle", F.ceil(F.col("n_left") / LIST).cast("int").alias("lefts"), F.ceil(F.col("n_right") / LIST).cast("int").alias("rights")), "lists")
+    cut = F.broadcast(lists) if lists.count() <= MAX_BROADCAST_IDS else lists
+    told = rows.withColumn("looks", looks).join(cut, "shingle", "left").where("lefts is null or lefts > 0")
+    told = told.join(labels.withColumnRenamed("id", "labelled"), told["id"] == F.col("labelled"), "left").withColumn("label", F.coalesce("label", "id"))
+    # a long list's sides are dealt over blocks, and each two blocks meet in one place
+    at = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    mine = lambda of: F.pmod(F.xxhash64("id"), F.col(of))
+    right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: at(i, mine("rights"), RIGHT))
+    left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: at(mine("lefts"), j, LEFT))
+    places = F.when(F.col("lefts").isNull(), F.array(at(F.lit(0), F.lit(0), BOTH))).when(F.col("looks"), F.concat(left, right)).otherwise(right)
+    told = told.withColumn("at", F.explode(places)).select("shingle", "at.i", "at.j", "at.side", "id", "label", "n", "place", "s0", "s1", "s2", "s3")
+
+    def columns(batch):
+        c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(12)]
+        return (*(x.astype(np.int64) for x in c[:8]), np.stack([x.view(np.uint64) for x in c[8:]], 1))
+
+    def same(h):
+        return (h[0][1:] == h[0][:-1]) & (h[1][1:] == h[1][:-1]) & (h[2][1:] == h[2][:-1])
+
+    def meetings(leads, follows, begin, size):
+        """Matrices of places: the left members and the right ones of the same lists."""
+        any_lead = np.add.reduceat(leads.astype(np.int64), begin) > 0
+        begin, size = begin[any_lead], size[any_lead]
+        yield from _squares(begin[size <= 64], size[size <= 64])
+        for lo, n in zip(begin[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            one, two = lo + np.flatnonzero(leads[lo : lo + n]), lo + np.flatnonzero(follows[lo : lo + n])
+            step = max(1, (1 << 19) // max(1, len(two)))
+            for k in range(0, len(one), step):
+                yield one[None, k : k + step], two[None, :]
+
+    def run(batches):
+        for (_, _, _, side, ids, of, n, place, sketch), begin, size in _groups(batches, columns, same):
+            leads, follows = (place < prefix_sizes(n)[1]) & (side != RIGHT), side != LEFT
+            found = []
+            for left_at, right_at in meetings(leads, follows, begin, size):
+                a, b = left_at[:, :, None], right_at[:, None, :]
+                fits = leads[a] & follows[b] & (of[a] != of[b]) & (n[a] <= n[b]) & (100 * n[a] >= PERCENT * n[b])
+                fits &= np.minimum(n[a] - place[a], n[b] - place[b]) * (100 + PERCENT) >= PERCENT * (n[a] + n[b])
+                g, x, y = np.nonzero(fits)
+                p, q = left_at[g, x], right_at[g, y]
+                d = differing(sketch[p], sketch[q])
+                ok = d <= DISTANCE
+                p, q, d = p[ok], q[ok], d[ok]
+                if nearest is not None:
+                    p, q, d = np.concatenate((p, q)), np.concatenate((q, p)), np.tile(d, 2)
+                    order = np.lexsort((ids[q], d, p))
+                    p, q, d = p[order], q[order], d[order]
+                    rank = np.arange(len(p)) - np.searchsorted(p, p)
+                    p, q, d = p[rank < nearest], q[rank < nearest], d[rank < nearest]
+                found.append((np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), d))
+            if found:
+                pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "d"])
+
+    pairs = told.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(run, "a long, b long, d int").distinct()
+    if nearest is None:
+        return pairs.select("a", "b")
+    each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("place") <= nearest)
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, set of the given documents (column doc_id) that have one. Their texts are read again; sets of all are never kept."""
+    """id, set, n of the given classes (id, text_id: a doc_id and its text). The texts are read again; sets of all are never kept."""
     ids = written(ids.distinct(), "ids")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id")
+    named = docs.select("doc_id", "text", text_id(F.col("text")).alias("text_id"))
+    texts = named.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, (named["doc_id"] == ids["id"]) & (named["text_id"] == ids["text_id"])).select("id", "text")
 
     def work(batch):
         for part, text in text_slices(batch):
             sets = shingle_sets(text)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield {"doc_id": part.column(0), "set": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))}
+            yield {"id": part.column(0), "set": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))}
 
-    return written(mapped(texts, work, "doc_id long, set array<bigint>"), "sets").where("size(set) > 0")
+    return written(mapped(texts, work, "id long, set array<bigint>"), "sets").where("size(set) > 0").select("id", "set", F.size("set").cast("long").alias("n"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough, as edges u, v."""
-    sets = set_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs)
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough, as edges u, v."""
+    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
     return rows.where(100 * F.col("shared") >= PERCENT * (F.col("total") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, n_shingles, component_id, kept of every row."""
     rows = written(signed(docs), "signatures")
-    classes = written(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("symbols").alias("symbols")).where("id is not null"), "classes")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_id"))).alias("m")
+    classes = written(rows.where("set_id is not null").groupBy("set_id").agg(first, F.first("symbols").alias("symbols")).where("m is not null").select("set_id", F.col("m.doc_id").alias("id"), F.col("m.text_id").alias("text_id"), "symbols"), "classes")
     hot = written(hot_keys(classes), "hot")
     salted = filed(classes).join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1))).drop("hot")
     order = ("key", "salt", "id")
@@ -425,37 +458,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     over = written(bucketed(leaders.repartition("key").sortWithinPartitions(*order)), "buckets").where(f"kind = {TIED}")
     ties = found.where(f"kind = {TIED}").unionByName(over)
     tried = written(ties.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
-    edges = written(confirmed(tried, docs), "links")
+    named = classes.select("id", "text_id")
+    of = lambda ids: named.join(ids, "id", "left_semi")
+    edges = confirmed(tried, set_table(of(tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id")))), docs))
     labels = written(components(edges), "labels")
-    members = found.where(f"kind = {MEMBER}").select("key", "a", "s0", "s1", "s2", "s3")
-    both = lambda more: components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more))
-    pairs = written(nearest_across(members, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        labels = written(both(confirmed(pairs, docs)), "labels")
-        close = written(gathered(members, labels), "close")
-        if not close.isEmpty():
-            labels = written(both(linked_across(close, labels, docs)), "labels")
-    named = classes.join(labels, "id", "left").select("set_id", F.coalesce("label", "id").alias("component"))
-    out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    both = lambda more: written(components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more)), "labels")
+    apart = written(suspects(found.where(f"kind = {MEMBER}").select("key", "a", "s0", "s1", "s2", "s3"), labels), "suspects")
+    if not apart.isEmpty():
+        sets = set_table(of(apart), docs)
+        rare = written(prefixes(sets.join(classes.select("id", "symbols"), "id")), "rare")
+        near = written(rare_pairs(rare, labels, NEAREST).join(tried, ["a", "b"], "left_anti"), "pairs")
+        labels = both(confirmed(near, sets))
+        rest = rare_pairs(rare, labels).join(tried, ["a", "b"], "left_anti").join(near, ["a", "b"], "left_anti")
+        labels = both(confirmed(rest, sets))
+    component = classes.join(labels, "id", "left").select("set_id", F.coalesce("label", "id").alias("component"))
+    out = rows.join(component, "set_id", "left").select("doc_id", "text_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return judged(docs).drop("text_id")
+
+
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's, columns unchanged; of rows repeated with that doc_id one stays.
+    """The rows of docs whose doc_id is its component's, columns unchanged; of rows repeated with that doc_id and text one stays.
 
-    Rows dropped are named by doc_id: broadcast where they are few enough, joined otherwise.
+    Rows dropped are named by doc_id and text; broadcast where they are few enough, joined otherwise.
     """
-    judged = written(near_duplicates(docs), "judged")
-    gone = written(judged.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    again = written(judged.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("n")).where("n > 1").select("again_id"), "again")
+    told = written(judged(docs), "judged")
+    gone = written(told.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_id").alias("gone_text")).distinct(), "gone")
+    again = written(told.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("gone_id"), F.col("text_id").alias("gone_text")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     few = gone.count() <= MAX_BROADCAST_IDS and again.count() <= MAX_BROADCAST_IDS
     hint = F.broadcast if few else (lambda x: x)
     names = docs.columns
-    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    doc_id = F.col(f"c{names.index('doc_id')}")
-    left = rows.join(hint(gone), doc_id == F.col("gone_id"), "left_anti")
-    once = left.join(hint(again), doc_id == F.col("again_id"), "left_anti")
+    whole = [f"c{i}" for i in range(len(names))]
+    doc_id, text = (whole[names.index(x)] for x in ("doc_id", "text"))
+    rows = docs.toDF(*whole).withColumn("text_id", text_id(F.col(text)))
+    named = (F.col(doc_id) == F.col("gone_id")) & (F.col("text_id") == F.col("gone_text"))
+    left = rows.join(hint(gone), named, "left_anti")
     if again.isEmpty():
-        return once.toDF(*names)
-    several = left.join(hint(again), doc_id == F.col("again_id"), "left_semi").dropDuplicates([f"c{names.index('doc_id')}"])
-    return once.unionByName(several).toDF(*names)
+        return left.select(*whole).toDF(*names)
+    once = left.join(hint(again), named, "left_anti")
+    several = left.join(hint(again), named, "left_semi").dropDuplicates([doc_id, "text_id"])
+    return once.unionByName(several).select(*whole).toDF(*names)
