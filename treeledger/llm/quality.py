@@ -7,9 +7,12 @@ exact binomial tail against "rejects at least ``alpha / number of signals`` of t
 good documents, whichever certified cutoff is then chosen. Chosen is the one that catches most bad documents net of good
 ones lost, the most lenient at a tie; a stratum with too few labels, or no gain, gets no rule.
 
+A doc_id is one observation, however often its label or its document is repeated: else copies of a few labels would pass
+for evidence. Labels that contradict each other say nothing; of a doc_id's rows the least (by stratum and counts) speaks.
+
 Defined cases: a null or empty text has no words and fails the base; null lang is the stratum ``''``; repeated rows are
-judged alike, each; labels without a document, or of null quality, say nothing; empty tables give empty results; further
-columns are left alone (the filter passes them on).
+judged alike, each; labels without a document, or of null doc_id or quality, say nothing; empty tables give empty results;
+further columns are left alone (the filter passes them on).
 """
 
 from __future__ import annotations
@@ -154,7 +157,9 @@ def least_labels(tests: int, alpha: float, delta: float) -> int:
 
 def calibrate(measures: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and signal. To the driver go counts per stratum and cutoff only, of strata with labels enough."""
-    judged = measures.where(~base_failed({c: F.col(c) for c in COUNTS})).join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
+    told = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    one = measures.join(told, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("stratum", *COUNTS)).alias("m")).select("quality", "m.*")
+    judged = one.where(~base_failed({c: F.col(c) for c in COUNTS}))
     values, good, bad = signals({c: F.col(c) for c in COUNTS}), F.col("quality") == 1, F.col("quality") == 0
     tests = [(s, t) for s, grid in GRIDS.items() for t in grid]
     sums = [F.sum((kind & (values[s] > t)).cast("long")).alias(f"{name}{i}") for i, (s, t) in enumerate(tests) for name, kind in (("good", good), ("bad", bad))]
