@@ -4,7 +4,9 @@ N-grams of 1 to 3 lower-cased characters are hashed to 2^15 features; a value is
 vector scaled to length 1. Document frequencies are counted over every learning row. Weights are learned online by
 follow-the-regularised-leader (per-coordinate rates, L1 and L2) on a bounded sample: at most ``PER_LANG`` documents of a
 language (fewer with more than ``MAX_ROWS / PER_LANG`` languages), chosen by a digest of doc_id, of up to ``MAX_CHARS``
-characters. A fifth of the sample is kept from training and sets the temperature that divides the logits.
+characters. A language that has too few such gets longer ones too, ``MAX_LONG`` over all languages; these come as counts of features, made
+of the whole text where it lies. Only the ``MAX_LANGS`` languages with most learning rows are learned, which bounds the model.
+A fifth of the sample is kept from training and sets the temperature that divides the logits.
 
 Learning rows are those with text and lang whose crc32(doc_id as text) mod 3 is not 1. A prediction sees the text alone.
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .textkit import mapped, text_slices
 
 FEATURES, ORDERS = 1 << 15, 3
-PER_LANG, MAX_ROWS, MAX_CHARS = 800, 16_000, 8_000
+PER_LANG, MAX_ROWS, MAX_CHARS, MAX_LONG, MAX_LANGS = 800, 16_000, 8_000, 256, 512
 #: FTRL: learning rate, its offset, L1, L2; passes over the sample.
 RATE, OFFSET, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.02, 2
 #: Below this score the filter doesn't trust a prediction.
@@ -121,7 +123,8 @@ def learning(docs: DataFrame) -> DataFrame:
 
 def trained(docs: DataFrame) -> Model:
     spark, rows = docs.sparkSession, learning(docs)
-    per = {r["lang"]: r["n"] for r in rows.where(F.length("text") <= MAX_CHARS).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    short = F.length("text") <= MAX_CHARS
+    per = {r["lang"]: (r["n"], r["n_short"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(short.cast("long")).alias("n_short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not per:
         return Model([], np.ones(FEATURES), np.zeros((FEATURES, 0)), 1.0)
 
@@ -148,15 +151,33 @@ def trained(docs: DataFrame) -> Model:
 
     langs = sorted(per)
     want = max(1, min(PER_LANG, MAX_ROWS // len(langs)))
-    share = spark.createDataFrame([(k, min(1.0, want / n)) for k, n in per.items()], "lang string, share double")
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(F.length("text") <= MAX_CHARS).join(F.broadcast(share), "lang").where(mark < F.col("share")).orderBy(F.xxhash64("doc_id", "text")).limit(MAX_ROWS + PER_LANG)
-    got = sample.select("lang", "text").toArrow().combine_chunks()
+    few = {k: min(n - m, want - m) for k, (n, m) in per.items() if m < want and n > m}
+    lengthy = max(1, MAX_LONG // max(1, len(few)))
+    share = spark.createDataFrame([(k, min(1.0, want / m) if m else 0.0, min(1.0, min(few.get(k, 0), lengthy) / max(1, n - m))) for k, (n, m) in per.items()], "lang string, share double, long_share double")
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.join(F.broadcast(share), "lang").withColumn("mark", mark)
+    order = F.xxhash64("doc_id", "text")
+    got = drawn.where(short & (F.col("mark") < F.col("share"))).orderBy(order).limit(MAX_ROWS + PER_LANG).select("lang", "text").toArrow().combine_chunks()
     vectors, target = [], [langs.index(x) for x in got.column("lang").to_pylist()]
     for batch in got.to_batches():
         for _, texts in text_slices(batch):
             grams, offsets = gram_features(texts)
             vectors += [vector(counted(grams, offsets[i], offsets[i + 1]), idf) for i in range(len(texts))]
+
+    def features(batch):
+        for part, texts in text_slices(batch):
+            grams, offsets = gram_features(texts)
+            found = [counted(grams, offsets[i], offsets[i + 1]) for i in range(len(texts))]
+            at = [np.flatnonzero(c) for c in found]
+            yield {"lang": part.column(0), "at": [a.tolist() for a in at], "n": [c[a].tolist() for c, a in zip(found, at, strict=True)]}
+
+    if few:
+        long_rows = drawn.where(~short & (F.col("mark") < F.col("long_share"))).orderBy(order).limit(2 * MAX_LONG).select("lang", "text")
+        for r in mapped(long_rows, features, "lang string, at array<int>, n array<long>").collect():
+            count = np.zeros(FEATURES, np.int64)
+            count[r["at"]] = r["n"]
+            vectors.append(vector(count, idf))
+            target.append(langs.index(r["lang"]))
     held = [i for i in range(len(target)) if i % 5 == 4]
     fit = [i for i in range(len(target)) if i % 5 != 4]
     weights = ftrl([vectors[i] for i in fit], [target[i] for i in fit], len(langs))
