@@ -2,11 +2,11 @@
 
 Texts are compared without the characters ``[\\x20\\x09-\\x0D]``. A 64-bit fingerprint of each falls, by its leading bits,
 into a slice; within it the next bits are the quotient, the others the remainder. Every partition builds one filter a
-slice: per quotient a run of sorted remainders, with counters. Filters of a slice merge without loss, as quotient and
-remainder hold all 64 bits: runs merge in order of remainder and counters add up. Fingerprints with a count above one
-route their rows to a comparison of the whole bytes; all others are known to be alone.
+slice: per quotient a run of sorted remainders, with counters. The filters of a slice share their geometry, so they merge
+without loss and without sorting anew: quotient by quotient runs merge in order of remainder, and counters of equal ones add up.
+Fingerprints with a count above one route their rows to a comparison of the whole bytes; all others are known to be alone.
 
-Of equal texts the row with the most code points, then the least doc_id, stays.
+Of equal texts the row with the most code points, then the least doc_id (null after all others), stays.
 
 Defined cases: null text is empty, and empty texts are equal; rows repeated with one doc_id count each in group_size and
 all say kept if that doc_id stays (``keep`` passes on one of them); an empty table gives no rows; further columns are
@@ -28,49 +28,72 @@ from .storage import written
 from .textkit import mapped, text_slices
 
 #: Fingerprints that a slice is made for, and repeated fingerprints (8 bytes each) or groups that may be broadcast.
-SLICE_ROWS, MAX_BROADCAST, MAX_BROADCAST_GROUPS = 1 << 16, 2_000_000, 200_000
+SLICE_ROWS, MAX_BROADCAST, MAX_BROADCAST_GROUPS = 1 << 19, 2_000_000, 200_000
+#: Bits of a quotient: a slice has this many runs.
+QUOTIENT_BITS = 18
 _DROP = bytes([0x20, *range(0x09, 0x0E)])
 
 
 class CountingQuotientFilter:
-    """Fingerprints of one slice (its leading bits dropped): run length of every quotient, sorted remainders, counters."""
+    """Fingerprints of one slice (its leading bits dropped): the quotients that occur, the ends of their runs, sorted remainders, counters."""
 
-    def __init__(self, bits: int, q: int, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray) -> None:
-        self.bits, self.q, self.runs, self.remainders, self.counts = bits, q, runs, remainders, counts
+    def __init__(self, bits: int, quotients: np.ndarray, ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray) -> None:
+        self.bits, self.quotients, self.ends, self.remainders, self.counts = bits, quotients, ends, remainders, counts
 
     @classmethod
     def of(cls, values: np.ndarray, counts: np.ndarray, bits: int) -> CountingQuotientFilter:
         """values: sorted, distinct, of so many bits; counts: how often each occurs."""
-        q = max(1, int(len(values)).bit_length() - 1)
-        quotient, remainder = values >> np.uint64(bits - q), values & np.uint64((1 << (bits - q)) - 1)
-        return cls(bits, q, np.bincount(quotient.astype(np.int64), minlength=1 << q), remainder, counts)
+        low = np.uint64(bits - QUOTIENT_BITS)
+        return cls._runs(bits, values >> low, values & ((np.uint64(1) << low) - np.uint64(1)), counts)
+
+    @classmethod
+    def _runs(cls, bits: int, quotient: np.ndarray, remainders: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(quotient)), bool), quotient[1:] != quotient[:-1])))
+        return cls(bits, quotient[begin].astype(np.uint32), np.append(begin[1:], len(quotient)).astype(np.uint32) if len(begin) else np.zeros(0, np.uint32), remainders, counts)
+
+    def _quotient(self) -> np.ndarray:
+        """The quotient of every remainder."""
+        return np.repeat(self.quotients, np.diff(self.ends, prepend=np.uint32(0)))
 
     def values(self) -> np.ndarray:
-        return (np.repeat(np.arange(1 << self.q, dtype=np.uint64), self.runs) << np.uint64(self.bits - self.q)) | self.remainders
+        return (self._quotient().astype(np.uint64) << np.uint64(self.bits - QUOTIENT_BITS)) | self.remainders
 
     def dump(self) -> bytes:
-        width = -(-(self.bits - self.q) // 8)
+        width = -(-(self.bits - QUOTIENT_BITS) // 8)
         many = np.flatnonzero(self.counts > 1).astype(np.uint32)
-        head = np.array([self.bits, self.q, len(self.remainders), len(many)], np.uint32)
-        return b"".join((head.tobytes(), self.runs.astype(np.uint16).tobytes(), np.ascontiguousarray(self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes(), many.tobytes(), self.counts[many].astype(np.uint64).tobytes()))
+        head = np.array([self.bits, len(self.quotients), len(self.remainders), len(many)], np.uint32)
+        return b"".join((head.tobytes(), self.quotients.tobytes(), self.ends.tobytes(), np.ascontiguousarray(self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes(), many.tobytes(), self.counts[many].astype(np.uint64).tobytes()))
 
     @classmethod
     def load(cls, blob: bytes) -> CountingQuotientFilter:
-        bits, q, n, m = (int(x) for x in np.frombuffer(blob, np.uint32, 4))
-        at, width = 16, -(-(bits - q) // 8)
-        runs = np.frombuffer(blob, np.uint16, 1 << q, at).astype(np.int64)
-        at += 2 << q
+        bits, k, n, m = (int(x) for x in np.frombuffer(blob, np.uint32, 4))
+        at, width = 16 + 8 * k, -(-(bits - QUOTIENT_BITS) // 8)
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
         at += n * width
         counts = np.ones(n, np.int64)
         counts[np.frombuffer(blob, np.uint32, m, at)] = np.frombuffer(blob[at + 4 * m :], np.uint64, m)
-        return cls(bits, q, runs, wide.view("<u8").ravel(), counts)
+        return cls(bits, np.frombuffer(blob, np.uint32, k, 16), np.frombuffer(blob, np.uint32, k, 16 + 4 * k), wide.view("<u8").ravel(), counts)
+
+    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both filters' fingerprints. Each remainder of the other finds its place in the run of its quotient; nothing is sorted."""
+        a, b = self.values(), other.values()
+        place = np.searchsorted(a, b)
+        known = np.zeros(len(b), bool)
+        inside = place < len(a)
+        known[inside] = a[place[inside]] == b[inside]
+        counts = self.counts.copy()
+        counts[place[known]] += other.counts[known]
+        new = ~known
+        at = place[new]
+        return self._runs(self.bits, np.insert(self._quotient(), at, other._quotient()[new]), np.insert(self.remainders, at, other.remainders[new]), np.insert(counts, at, other.counts[new]))
 
     @classmethod
     def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        values, back = np.unique(np.concatenate([f.values() for f in filters]), return_inverse=True)
-        return cls.of(values, np.bincount(back, np.concatenate([f.counts for f in filters])).astype(np.int64), filters[0].bits)
+        """All filters, merged by twos, so that every fingerprint moves a logarithm of times."""
+        while len(filters) > 1:
+            filters = [filters[i].merge(filters[i + 1]) if i + 1 < len(filters) else filters[i] for i in range(0, len(filters), 2)]
+        return filters[0]
 
 
 def normalised(texts: pa.Array) -> list[bytes]:
@@ -130,9 +153,9 @@ def groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
     routed = mapped(docs.select("doc_id", "text"), work, "doc_id long, fp long, n_chars long, plain binary")
     if not small:
         routed = routed.join(many.select("fp"), "fp")
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("m"))).alias("best")
+    best = F.min(F.struct((-F.col("n_chars")).alias("short"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("best")
     out = routed.groupBy("fp", "plain").agg(best, F.count("*").alias("group_size")).where("group_size > 1")
-    return out.select("fp", F.unhex(F.sha2("plain", 256)).alias("sha"), (-F.col("best.m")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size")
+    return out.select("fp", F.unhex(F.sha2("plain", 256)).alias("sha"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.short")).alias("keep_chars"), "group_size")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
