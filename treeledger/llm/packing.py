@@ -5,7 +5,9 @@ all others fill a sequence. How many pieces there are of each length (at most ``
 needs: bins are patterns of lengths with a multiplicity. The incumbent is best-fit decreasing; unless it meets the lower
 bound, bin completion goes on: around the largest length left it enumerates undominated fillings (none that can take one
 more piece, or a longer piece for one of its own), least waste first, and prunes where the waste so far leaves no
-solution with fewer bins. The search has a budget of nodes; after it the best found stands.
+solution with fewer bins. Four bounds keep the search short: ``NODES`` of it, ``FILLINGS`` taken up at a node (of 40 times as
+many found), ``WIDTH`` lengths tried at each place of a filling, and ``DEPTH`` places, after which it is filled greedily. With these the best found stands, which is never worse than best fit; with None for the
+first three the search is complete. The bounds don't depend on the data's size, as a plan works on counts of lengths.
 
 Pieces of a length are ranked by counts of buckets of a digest plus a rank in the bucket; a pattern takes ranges of ranks.
 
@@ -15,6 +17,9 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 import zlib
 from collections import Counter
 
@@ -28,8 +33,8 @@ from .storage import written
 from .textkit import mapped, text_slices
 
 CAPACITY, END_ID = 1024, 2
-#: Nodes of the search, fillings tried at a node, and lengths tried at each place of a filling.
-NODES, FILLINGS, WIDTH = 1500, 6, 8
+#: Nodes of the search, fillings tried at a node, and lengths tried at each place of a filling; None: all.
+NODES, FILLINGS, WIDTH, DEPTH = 1500, 6, 8, 12
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -80,41 +85,47 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(p, k) for r in sorted(open_) for p, k in open_[r].items()]
 
 
-def fillings(counts: dict[int, int], room: int, lengths: list[int]) -> list[tuple[int, ...]]:
+def fillings(counts: dict[int, int], room: int, lengths: list[int], most: int | None = FILLINGS, width: int | None = WIDTH) -> list[tuple[int, ...]]:
     """Undominated fillings of the room, least waste first. lengths: those in counts, descending."""
-    out: list[tuple[int, ...]] = []
+    out: set[tuple[int, ...]] = set()
     used: Counter = Counter()
+    enough = None if most is None else 40 * most
+    below = [-x for x in lengths]
 
     def fill(at: int, left: int, taken: tuple[int, ...]) -> None:
-        options = []
-        for i in range(at, len(lengths)):
-            if lengths[i] <= left and counts[lengths[i]] > used[lengths[i]]:
-                options.append(i)
-                if len(options) == WIDTH:
-                    break
-        if not options or len(taken) >= 12 and len(out) > FILLINGS:
-            out.append(taken)
+        at = max(at, bisect.bisect_left(below, -left))
+        if width is not None and len(taken) >= DEPTH:  # the rest greedily
+            while at < len(lengths):
+                n = min(left // lengths[at], counts[lengths[at]] - used[lengths[at]])
+                taken += (lengths[at],) * n
+                left -= lengths[at] * n
+                at = max(at + 1, bisect.bisect_left(below, -left))
+            out.add(taken)
             return
+        options = list(itertools.islice((i for i in range(at, len(lengths)) if counts[lengths[i]] > used[lengths[i]]), width))
+        if not options:
+            out.add(taken)
         for i in options:
-            if len(out) >= 40 * FILLINGS:
+            if enough is not None and len(out) >= enough:
                 return
             used[lengths[i]] += 1
             fill(i, left - lengths[i], taken + (lengths[i],))
             used[lengths[i]] -= 1
 
     fill(0, room, ())
+    order = sorted(out, key=lambda f: (room - sum(f), len(f)))
     best = []
-    for f in sorted(set(out), key=lambda f: (room - sum(f), len(f))):
+    for f in order:
         waste, own = room - sum(f), Counter(f)
         if not any(counts[z] > own[z] and (z <= waste or any(x < z <= x + waste for x in own)) for z in lengths):
             best.append(f)
-            if len(best) == FILLINGS:
+            if len(best) == most:
                 break
-    return best or [max(set(out), key=sum)]
+    return best or order[:1]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Patterns with multiplicities that take every piece; as few bins as found."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES, most: int | None = FILLINGS, width: int | None = WIDTH) -> Plan:
+    """Patterns with multiplicities that take every piece; as few bins as found within the bounds, as few as can be with None for all."""
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return []
@@ -122,7 +133,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     best = best_fit(counts, capacity)
     n_best = sum(k for _, k in best)
     least = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
-    budget = [NODES]
+    budget = [math.inf if nodes is None else nodes]
 
     def search(left: dict[int, int], done: Plan, bins: int, waste: int) -> None:
         nonlocal best, n_best
@@ -134,11 +145,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
         lengths = sorted(left, reverse=True)
         top = lengths[0]
         own = left | {top: left[top] - 1}
-        for f in fillings(own, capacity - top, lengths):
+        for f in fillings(own, capacity - top, lengths, most, width):
             if budget[0] <= 0 or n_best <= least:
                 return
             bin_ = Counter((top, *f))
-            times = min(left[x] // n for x, n in bin_.items())
+            times = min(left[x] // n for x, n in bin_.items()) if nodes is not None else 1
             spilt = waste + times * (capacity - top - sum(f))
             if spilt > (n_best - 1) * capacity - total:
                 continue
