@@ -9,7 +9,8 @@ ids (uint64 each). A block's data begins with a checkpoint, the lanes' states, s
 checksum tells whether it came out right.
 
 Files are written by tasks over ranges of doc_id, first under a hidden name and then renamed, so a repeated task leaves
-the same file; they are read back as whole binary files, in parallel.
+the same file. They are read back block by block, in parallel: a task reads a file's tables and the bytes of its blocks; the
+checksums of a document that lies in several blocks are joined.
 
 Defined cases: null text is empty and has the end id only; a null doc_id comes first; repeated rows are written each;
 an empty table writes no file; further columns are ignored.
@@ -20,7 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,34 +107,69 @@ def dump(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
     return b"".join((_MAGIC, struct.pack("<5Q", len(doc_ids), len(ids), *map(len, tables)), *tables, *blocks))
 
 
-def load(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, lengths and ids of a file; raises where a checksum fails."""
-    if blob[:8] != _MAGIC:
-        raise ValueError("not a file of this format")
-    n_docs, n_ids, *sizes = struct.unpack_from("<5Q", blob, 8)
-    at, tables = 48, []
-    for size in sizes:
-        tables.append(zlib.decompress(blob[at : at + size]))
-        at += size
-    doc = np.frombuffer(tables[0], "<i8", n_docs).tolist()
-    for i in np.flatnonzero(np.frombuffer(tables[0], np.uint8, n_docs, 8 * n_docs)):
-        doc[i] = None
-    lengths = np.frombuffer(tables[0], "<u8", n_docs, 9 * n_docs).astype(np.int64)
-    k = len(tables[1]) // 8
-    symbols, share = np.frombuffer(tables[1], "<u4", k), np.frombuffer(tables[1], "<u4", k, 4 * k)
-    symbol_at, freq_at = np.repeat(symbols, share), np.repeat(share, share).astype(np.uint64)
-    bias_at = np.arange(len(symbol_at), dtype=np.uint64) - np.repeat(np.cumsum(share, dtype=np.uint64) - share, share)
-    out = []
-    for n, lanes, n_words, place, crc in np.frombuffer(tables[2], "<u8").reshape(-1, 5).tolist():
-        start = at + place
-        part = decode_block(n, np.frombuffer(blob, "<u8", lanes, start), np.frombuffer(blob, "<u4", n_words, start + 8 * lanes), symbol_at, freq_at, bias_at)
+class Head:
+    """The tables of a file. ``read`` gives n bytes from a place of the file."""
+
+    def __init__(self, read: Callable[[int, int], bytes]) -> None:
+        start = read(0, 48)
+        if start[:8] != _MAGIC:
+            raise ValueError("not a file of this format")
+        n_docs, self.n_ids, *sizes = struct.unpack_from("<5Q", start, 8)
+        tables, packed = [], read(48, sum(sizes))
+        for size in sizes:
+            tables.append(zlib.decompress(packed[:size]))
+            packed = packed[size:]
+        self.data = 48 + sum(sizes)
+        self.doc_ids = np.frombuffer(tables[0], "<i8", n_docs).tolist()
+        for i in np.flatnonzero(np.frombuffer(tables[0], np.uint8, n_docs, 8 * n_docs)):
+            self.doc_ids[i] = None
+        self.lengths = np.frombuffer(tables[0], "<u8", n_docs, 9 * n_docs).astype(np.int64)
+        k = len(tables[1]) // 8
+        symbols, share = np.frombuffer(tables[1], "<u4", k), np.frombuffer(tables[1], "<u4", k, 4 * k)
+        self.symbol_at, self.freq_at = np.repeat(symbols, share), np.repeat(share, share).astype(np.uint64)
+        self.bias_at = np.arange(len(self.symbol_at), dtype=np.uint64) - np.repeat(np.cumsum(share, dtype=np.uint64) - share, share)
+        self.blocks = np.frombuffer(tables[2], "<u8").reshape(-1, 5).tolist()
+        if sum(b[0] for b in self.blocks) != self.n_ids:
+            raise ValueError("file is short of ids")
+
+    def block(self, k: int, read: Callable[[int, int], bytes]) -> np.ndarray:
+        """The ids of one block, from its own bytes alone; raises where its checksum fails."""
+        n, lanes, n_words, place, crc = self.blocks[k]
+        data = read(self.data + place, 8 * lanes + 4 * n_words)
+        part = decode_block(n, np.frombuffer(data, "<u8", lanes), np.frombuffer(data, "<u4", n_words, 8 * lanes), self.symbol_at, self.freq_at, self.bias_at)
         if zlib.crc32(part.astype("<u4").tobytes()) != crc:
             raise ValueError("block checksum differs")
-        out.append(part)
-    ids = np.concatenate(out) if out else np.zeros(0, np.uint32)
-    if len(ids) != n_ids:
-        raise ValueError("file is short of ids")
-    return doc, lengths, ids
+        return part
+
+
+def load(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, lengths and ids of a whole file."""
+    read = lambda at, n: blob[at : at + n]
+    head = Head(read)
+    parts = [head.block(k, read) for k in range(len(head.blocks))]
+    return head.doc_ids, head.lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _times(matrix: list[int], vector: int) -> int:
+    out, i = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[i]
+        vector, i = vector >> 1, i + 1
+    return out
+
+
+def crc32_joined(first: int, second: int, n: int) -> int:
+    """CRC32 of two strings in a row from that of each and the bytes of the second: the first's is moved on over n zero bytes,
+    which is a linear map, raised to its power by squaring."""
+    zero = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
+    for _ in range(3):
+        zero = [_times(zero, x) for x in zero]
+    while n:
+        if n & 1:
+            first = _times(zero, first)
+        zero, n = [_times(zero, x) for x in zero], n >> 1
+    return first ^ second
 
 
 def write_ids(docs: DataFrame, path: str, folder: str) -> DataFrame:
@@ -150,12 +186,13 @@ def write_ids(docs: DataFrame, path: str, folder: str) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         bpe, n_file, doc_ids, lengths, held, size = loaded(path), 0, [], [], [], 0
+        task = TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
             nonlocal n_file, doc_ids, lengths, held, size
-            name = f"ids-{TaskContext.get().partitionId():08d}-{n_file:06d}.rans"
+            name = f"ids-{task:08d}-{n_file:06d}.rans"
             save(name, dump(doc_ids, np.concatenate(lengths), np.concatenate(held)))
-            row = pa.RecordBatch.from_pydict({"file": [name], "n_ids": [size]})
+            row = pa.RecordBatch.from_pydict({"file": [name], "task": pa.array([task], pa.int32()), "n_ids": [size], "n_blocks": pa.array([-(-size // BLOCK_IDS)], pa.int32())})
             n_file, doc_ids, lengths, held, size = n_file + 1, [], [], [], 0
             return row
 
@@ -175,29 +212,70 @@ def write_ids(docs: DataFrame, path: str, folder: str) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("tie", tie)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return written(ordered.select("doc_id", "text").mapInArrow(run, "file string, n_ids long"), "files")
+    return written(ordered.select("doc_id", "text").mapInArrow(run, "file string, task int, n_ids long, n_blocks int"), "files")
+
+
+_READ = "file string, row long, doc_id long, within long, n_tokens long, first long, n long, crc long"
 
 
 def read_ids(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files. Tasks read single blocks, each by its place in the file."""
     spark = files.sparkSession
-    every = Window.partitionBy(F.lit(0)).orderBy("file")  # one row a file
-    starts = files.select("file", (F.sum("n_ids").over(every) - F.col("n_ids")).alias("ahead"))
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # ids ahead of a file: those of earlier tasks (a row each), and of the task's earlier files
+    tasks = files.groupBy("task").agg(F.sum("n_ids").alias("n"))
+    tasks = tasks.select("task", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("task")) - F.col("n")).alias("earlier"))
+    own = F.sum("n_ids").over(Window.partitionBy("task").orderBy("file")) - F.col("n_ids")
+    starts = files.withColumn("own", own).join(tasks, "task").select("file", (F.col("earlier") + F.col("own")).alias("ahead"))
+
+    schema = _arrow(_READ)
 
-    def work(batch):
-        for name, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            doc, lengths, ids = load(blob)
-            data = memoryview(ids.astype("<u4").tobytes())
-            begin = np.cumsum(lengths) - lengths
-            crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), lengths.tolist(), strict=True)]
-            yield {"file": [name] * len(doc), "doc_id": doc, "within": begin, "n_tokens": lengths, "ids_crc32": crc}
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        last, head, source = None, None, None
+        for batch in batches:
+            for name, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != last:
+                    source, last = system.open_input_file(f"{root}/{name}"), name
+                    read = lambda at, n, f=source: f.read_at(n, at)
+                    head = Head(read)
+                    end = np.cumsum(head.lengths)
+                ids = head.block(k, read)
+                lo = k * BLOCK_IDS
+                hi = lo + len(ids)
+                data = memoryview(ids.astype("<u4").tobytes())
+                rows = np.arange(np.searchsorted(end, lo, "right"), min(len(end), np.searchsorted(end, hi, "left") + 1))
+                begin = end[rows] - head.lengths[rows]
+                first, stop = np.maximum(begin, lo), np.minimum(end[rows], hi)
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((first - lo).tolist(), (stop - lo).tolist(), strict=True)]
+                columns = ([name] * len(rows), rows, [head.doc_ids[i] for i in rows.tolist()], begin, head.lengths[rows], first - begin, stop - first, crc)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    blobs = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = mapped(blobs, work, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
+    blocks = files.select("file", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    rows = written(blocks.repartition("file", "block").sortWithinPartitions("file", "block").mapInArrow(work, _READ), "blocks")
+    whole = rows.where("n = n_tokens").select("file", "doc_id", "within", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+    def joined(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(*(table.column(c).to_pylist() for c in ("first", "n", "crc")), strict=True))
+        crc = 0
+        for _, n, own in parts:
+            crc = crc32_joined(crc, own, 4 * n)
+        return table.slice(0, 1).select(["file", "doc_id", "within", "n_tokens"]).append_column("ids_crc32", pa.array([crc], pa.int64()))
+
+    # documents over the border of blocks: a row a block
+    cut = rows.where("n < n_tokens").groupBy("file", "row").applyInArrow(joined, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
     starts = F.broadcast(starts) if files.count() <= MAX_BROADCAST_FILES else starts
-    return rows.join(starts, "file").select("doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return whole.unionByName(cut).join(starts, "file").select("doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
