@@ -76,6 +76,19 @@ def test_quality_cutoffs_hold_their_risk(spark):
         assert abs(quality.binomial_tail(k, n, p) - exact(k, n, p)) < 1e-10
 
 
+def test_repeated_labels_are_one_observation(spark):
+    made = [(i, "en", 100, 500, 60 if i >= 9 else 0, 0, 0, 5, 0, 0) for i in range(40)]
+    measures = spark.createDataFrame(made, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    labels = [(i, int(i < 9)) for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    assert quality.calibrate(measures, frame(labels)) == {} == quality.calibrate(measures, frame(labels * 200))
+    assert quality.calibrate(measures.unionByName(measures.where("doc_id < 9")).crossJoin(spark.range(100)).drop("id"), frame(labels)) == {}
+    many = spark.createDataFrame([(i, "en", 100, 500, 60 if i % 10 == 0 else 0, 0, 0, 5, 0, 0) for i in range(6000)], measures.schema)
+    told = [(i, int(i % 10 > 0)) for i in range(6000)]
+    assert "symbols" in quality.calibrate(many, frame(told))["en"]
+    assert quality.calibrate(many, frame(told + [(i, 1 - q) for i, q in told] + [(None, 1)])) == {}  # every label is contradicted
+
+
 def test_quality_filter_keeps_columns(spark, docs, rows):
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     kept = quality.keep(docs, labels)
@@ -133,6 +146,19 @@ def test_language(docs, empty, sf, spark):
     assert langid.keep(docs, model).columns == docs.columns
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    random.seed(11)
+    words = {"en": ["the", "and", "with", "house"], "fr": ["où", "être", "quelle", "çà"]}
+    text = lambda lang, n: " ".join(random.choice(words[lang]) for _ in range(n))
+    made = [(i, text("en", 50), "en") for i in range(60)] + [(100 + i, text("fr", 3000), "fr") for i in range(30)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = langid.trained(table)
+    assert model.langs == ["en", "fr"]
+    got = langid.identified(table, model).collect()
+    assert np.mean([r["lang_pred"] == ("fr" if r["doc_id"] >= 100 else "en") for r in got]) > 0.95
+    assert langid.identified(table.where("false"), model).count() == 0 and langid.keep(table.where("false"), model).count() == 0
+
+
 def library(path):
     t = Tokenizer.from_file(path)
     t.no_truncation()
@@ -295,12 +321,26 @@ def test_exact_dedup(docs, rows, empty):
     assert exactdup.exact_duplicates(empty).count() == 0 and exactdup.keep(empty).count() == 0
 
 
+def test_least_doc_id_and_null_ids(spark):
+    low = -(1 << 63)
+    made = [(low, "same text"), (5, "sametext"), (7, "same  text"), (None, "alone"), (None, "tie"), (3, "tie")]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in exactdup.exact_duplicates(table).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got[low, sha("sametext")] == (7, 3, False) and got[7, sha("sametext")] == (7, 3, True)
+    assert got[None, sha("tie")] == (3, 2, False) and got[None, sha("alone")] == (None, 1, True)
+    table = spark.createDataFrame([(low, "a"), (0, "a")], "doc_id long, text string")
+    assert {r["doc_id"] for r in exactdup.keep(table).collect()} == {low}
+
+
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 1 << 60, 500, dtype=np.uint64) for _ in range(4)]
     parts[1][:200] = parts[0][:200]
     made = [exactdup.CountingQuotientFilter.load(exactdup.CountingQuotientFilter.of(*np.unique(p, return_counts=True), 60).dump()) for p in parts]
-    whole = exactdup.CountingQuotientFilter.merged(made)
+    none = exactdup.CountingQuotientFilter.of(np.zeros(0, np.uint64), np.zeros(0, np.int64), 60)
+    whole = exactdup.CountingQuotientFilter.merged([*made, exactdup.CountingQuotientFilter.load(none.dump())])
+    assert (np.diff(whole.values().astype(object)) > 0).all()
     assert dict(zip(whole.values().tolist(), whole.counts.tolist(), strict=True)) == Counter(np.concatenate(parts).tolist())
 
 
@@ -337,8 +377,60 @@ def test_near_dedup(spark, sf, docs, rows, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components(spark, one_task):
+def test_links_at_all_similarities_around_the_threshold(spark, monkeypatch):
+    """Groups with a common passage whose members differ by much, little and just enough; small limits so that lists are cut and buckets are large."""
+    monkeypatch.setattr(neardup, "LIST", 8)
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 6)
+    monkeypatch.setattr(neardup, "FREQUENT", 4)
+    random.seed(13)
+    fresh = iter(range(10**9))
+    made = []
+    for g, own in enumerate((60, 45, 36, 30, 28, 26, 24, 22, 20, 16, 12)):
+        passage = [f"p{g}x{k}" for k in range(150)]
+        for _ in range(14):
+            made.append((len(made), " ".join(passage + [f"w{next(fresh)}" for _ in range(own + random.randrange(-2, 3))])))
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in made}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    roots = {i: root(i) for i in sets}
+    assert 20 < len(set(roots.values())) < 130
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()}
+    assert got == roots
+
+
+def test_texts_with_a_common_passage_are_not_paired(spark):
+    """The pairs looked at do not grow with the square of a group that shares a passage but isn't similar enough."""
+    def pairs(m):
+        passage, fresh = " ".join(f"p{k}" for k in range(140)), iter(range(10**9))
+        made = [(i, passage + " " + " ".join(f"w{next(fresh)}" for _ in range(45))) for i in range(m)]
+        docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+        signs = neardup.signed(docs)
+        sets = neardup.set_table(signs.select(neardup.F.col("doc_id").alias("id"), "text_id"), docs).join(signs.select(neardup.F.col("doc_id").alias("id"), "symbols"), "id")
+        none = spark.createDataFrame([], "id long, label long")
+        rows = neardup.prefixes(sets)
+        lists = defaultdict(lambda: [0, 0])
+        for r in rows.collect():
+            lists[r["shingle"]][0] += int(r["place"] < neardup.prefix_sizes(r["n"])[1])
+            lists[r["shingle"]][1] += 1
+        return neardup.rare_pairs(rows, none).count(), sum(a * b for a, b in lists.values())
+
+    for m in (150, 600):
+        found, met = pairs(m)
+        assert found == 0 and met <= 30 * m
+
+
+@pytest.mark.parametrize("per_task", [8, 1000])
+def test_components(spark, per_task):
     from treeledger.llm.components import components
 
     random.seed(8)
@@ -348,7 +440,7 @@ def test_components(spark, one_task):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     linked = {i for a, b in pairs if a != b for i in (a, b)}
-    got = {r["id"]: r["label"] for r in components(spark.createDataFrame(pairs, "u long, v long"), one_task).collect()}
+    got = {r["id"]: r["label"] for r in components(spark.createDataFrame(pairs, "u long, v long"), per_task).collect()}
     assert got == {i: label[i] for i in linked}
 
 
@@ -406,6 +498,8 @@ def test_bin_completion_is_optimal_on_small_cases():
         got = packing.plan(Counter(items), 100)
         assert sum((Counter({x: n * k for x, n in Counter(p).items()}) for p, k in got), Counter()) == Counter(items)
         assert all(sum(p) <= 100 for p, _ in got) and sum(k for _, k in got) == fewest(items, 100)
+        complete = packing.plan(Counter(items), 100, None, None, None)
+        assert sum(k for _, k in complete) == fewest(items, 100)
 
 
 def test_rans_files(docs, rows, empty):
@@ -421,6 +515,23 @@ def test_rans_files(docs, rows, empty):
     assert rans.round_trip(empty, BYTES).count() == 0
 
 
+def test_documents_over_block_borders(spark, docs, rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(rans, "BLOCK_IDS", 100)
+    lib = library(BYTES)
+    files = rans.write_ids(docs.where("doc_id is not null").coalesce(1), BYTES, f"file://{tmp_path}/ids")
+    spark.sparkContext.setLogLevel("ERROR")
+    names = [r["file"] for r in files.collect()]
+    got = [rans.load(open(f"{tmp_path}/ids/{n}", "rb").read()) for n in names]
+    assert sum(len(g[2]) for g in got) == sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, *_ in rows if i is not None)
+
+
+def test_checksums_join():
+    rng = np.random.default_rng(3)
+    data = rng.bytes(5000)
+    for cut in (0, 1, 7, 2500, 4999, 5000):
+        assert rans.crc32_joined(zlib.crc32(data[:cut]), zlib.crc32(data[cut:]), 5000 - cut) == zlib.crc32(data)
+
+
 @pytest.mark.parametrize("n", [1, 2, 4095, 4096, 4097, 3_000_000])
 def test_rans_round_trip_and_checksum(n):
     rng = np.random.default_rng(n)
