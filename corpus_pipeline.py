@@ -1,7 +1,14 @@
 """A corpus pipeline over ``documents``: quality rules, language, exact and near duplicates, packing.
 
 Each stage takes the table that the one before it left, judges every row of it, and is written as Parquet before the next
-reads it. A stage decides on its own input alone: thresholds, models and groups are computed anew from it.
+reads it. A stage decides on its own input alone: thresholds, models and groups are computed anew from it. All stages but
+the last keep or drop rows and leave every column as it is, whatever its name.
+
+Defined cases, by stage. Quality: null, empty and short texts go; a null lang is a stratum of its own; repeated or contradicting
+labels count once or not at all. Language: texts without a letter go, and those whose language can't be told (all, where no row
+has a lang). Exact dedup: of equal texts the longest original, then the least doc_id stays (null after all others), of repeated rows one.
+Near dedup: rows are told apart by doc_id and text; of rows repeated in both one stays; texts without words and rows without a doc_id
+stay. Packing: null text is the end id alone, repeated rows are packed each. Empty tables give empty results.
 """
 
 from __future__ import annotations
