@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list.
 
-Edges are dealt to tasks by their smaller end; each task replaces its edges by stars around its least nodes (union-find over a
-bounded number of edges). Alternating large-star and small-star steps then join the tasks' stars, until every node has
+Edges are dealt to tasks by their larger end (the smaller one of a star would be one key); each task replaces its edges by
+stars around its least nodes (union-find over a bounded number of edges). Alternating large-star and small-star steps then join the tasks' stars, until every node has
 one edge to a centre that has none. The same steps run at every size; few edges need fewer tasks and rounds.
 """
 
@@ -69,7 +69,7 @@ def components(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """id, label: the least id reachable, for every id that has an edge (u, v) to another."""
     told = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     tasks = max(1, -(-told.count() // per_task))
-    now = written(told.repartition(tasks, "v").mapInArrow(_contracted, "u long, v long"), "edges")
+    now = written(told.repartition(tasks, "u").mapInArrow(_contracted, "u long, v long"), "edges")
     while _unfinished(now):
         now = written(_star(_star(now, True), False), "edges")
     return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
