@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from treeledger import schema as S
 from treeledger.functions import names
-from treeledger.operators import asof, changes, families, grep, reads, retention, tree
+from treeledger.operators import asof, changes, families, grep, namespaces, postings, reads, retention, tree
 from treeledger.plans import commit, compaction, grams, ordering
 from treeledger.sources import log
 from treeledger.streaming import feed
@@ -30,7 +30,7 @@ def ledger(spark):
 
 
 def visible(ledger, at):
-    return sorted(r["path"] for r in tree.paths(ledger, at, 8).collect())
+    return sorted(r["path"] for r in tree.paths(ledger, at).collect())
 
 
 def test_paths_over_time(ledger):
@@ -106,7 +106,9 @@ def test_gram_plans():
     hexes = lambda p, i=False: None if (s := grams.plan(p, i)) is None else [sorted(x) for x in s]
     assert hexes("needle") == [[b"nee"], [b"eed"], [b"edl"], [b"dle"]]
     assert hexes("^(ab)(cd)$") == [[b"abc"], [b"bcd"]]
-    assert len(hexes("needle|haystack")) == 1
+    both = hexes("needle|haystack")
+    assert both and all(any(g in b"needle" for g in s) and any(g in b"haystack" for g in s) for s in both)
+    assert hexes("[ab]cd") == [[b"acd", b"bcd"]] and hexes("x(foo|bar)y")[0] == [b"xba", b"xfo"]
     assert hexes("foo.+bar") == [[b"foo"], [b"bar"]]
     assert hexes("straße", True) == [[b"tra"]]
     assert all(hexes(p) is None for p in ("(needle)?", ".*", "ab", "needle|n."))
@@ -121,12 +123,40 @@ def test_grep_gives_one_row_a_line(spark):
         assert got == [(1, 1, 4), (1, 2, 24)]
 
 
+def test_lines_end_at_line_feeds_alone_and_cuts_are_lossy(spark):
+    texts = ["needle\r\nneedle", "a\u2028needle b", "é" * 300 + " needle", "one\ntwo\nthree one\ntwo", "x" * 600 + "needle needle", "NEEDLE"]
+    c = spark.createDataFrame(list(enumerate(texts)), "content_id long, body string")
+    found = lambda p, i=False: sorted((r["content_id"], r["line_no"], r["byte_offset"], r["line_truncated"]) for r in grep.grep(c, grep.postings(c), p, i).collect())
+    assert found("needle$") == [(0, 2, 8, False), (2, 1, 601, True), (4, 1, 607, True)]
+    assert found("^.*needle b$") == [(1, 1, 0, False)]
+    assert found("one\\ntwo") == [(3, 1, 0, False), (3, 3, 8, False)]
+    assert {r[0] for r in found("needle", True)} == {0, 1, 2, 4, 5}
+    cut = grep.grep(c, None, " needle$").where("content_id = 2").first()
+    assert cut["line"] == "é" * 256 and len(grep.grep(c, None, "x needle").collect()) == 0
+    half = grep.line_matches(spark.createDataFrame([(1, "a" + "é" * 300)], "content_id long, body string"), "é").first()
+    assert half["line"] == "a" + "é" * 255 + "\ufffd" and half["line_truncated"]
+    with pytest.raises(ValueError):
+        grep.line_matches(c, r"(?=a)b")
+
+
+def test_eligible_text(spark):
+    rows = [(1, b"plain"), (2, b"a\x00b"), (3, b"\xff\xfe"), (4, b"a" * 8191 + "é".encode()), (5, b"a" * 8192 + b"\xff\x00"), (6, b"a" * 8191 + b"\xff"), (7, b""), (8, b"a" * 8190 + "😀".encode())]
+    c = spark.createDataFrame(rows, "content_id long, body binary")
+    assert {r["content_id"] for r in grep.eligible(c).where("eligible").collect()} == {1, 4, 5, 7, 8}
+
+
 def test_compaction_windows():
     assert compaction.window([10, 9, 8], 3) is None
     assert compaction.window([10, 9, 8, 7], 3) == range(0, 4)
     assert compaction.window([1000, 10, 9, 8, 7], 4) == range(1, 5)
     assert compaction.window([1] * 12, 5) == range(0, 8)
     assert compaction.window([10**9, 10**7, 10**5, 10**3, 10], 8) == range(3, 5)
+    # the examples of the policy
+    assert compaction.window([300, 90, 100, 110, 2], 4, False) == range(0, 4)
+    assert compaction.window([400, 40, 2, 1, 1], 8, False) == range(2, 5) and compaction.window([400, 40, 30, 1], 8, False) == range(1, 4)
+    assert compaction.window([100], 8) == range(0, 1) and compaction.window([100], 8, False) is None and compaction.window([], 9) is None
+    assert compaction.placement(range(0, 3), [1, 5, 9, 12], 20) == ("base", True, 20)
+    assert compaction.placement(range(1, 3), [1, 5, 9, 12], 20) == ("delta", False, 9)
 
 
 def test_ordering_breaks_a_swap():
@@ -134,6 +164,111 @@ def test_ordering_breaks_a_swap():
     assert [(c["inode_id"], c["action"]) for c in got] == [(1, "park"), (2, "move"), (1, "move")]
 
 
+def test_ordering_leaves_a_directory_before_its_deletion():
+    changes = {1: {"action": "delete"}, 2: {"action": "move", "parent": 3, "name": "x"}, 3: {"action": "create", "parent": 4, "name": "n"}, 4: {"action": "create", "parent": 0, "name": "m"}}
+    got = [c["inode_id"] for c in ordering.ordered(changes, {(0, "d"): 1, (1, "x"): 2})]
+    assert got == [4, 3, 2, 1]
+    with pytest.raises(ValueError):
+        ordering.ordered({1: {"action": "create", "parent": 2, "name": "a"}, 2: {"action": "create", "parent": 1, "name": "b"}}, {})
+
+
+def test_reads_go_by_name_key(ledger):
+    v = reads.View(ledger, 7)
+    assert v.locate("/C/g.TXT") == (3, "/c/g.txt") and v.locate("/") == (0, "/") and v.locate("/a/nothing") is None
+    assert [r["path"] for r in v.listdir("/A").collect()] == ["/a/b", "/a/h.txt"]
+    assert [r["path"] for r in v.listdir("/", after="a", limit=1).collect()] == ["/c"] and v.listdir("/none").count() == 0
+    asked = ledger.sparkSession.createDataFrame([("/A/H.TXT",), ("/a/none",), ("/",), ("/c",)], "path string")
+    got = {r["path"]: r for r in v.stat(asked).collect()}
+    assert got["/A/H.TXT"]["found_path"] == "/a/h.txt" and got["/A/H.TXT"]["attributes"] == {"k": "1"} and not got["/a/none"]["found"] and got["/"]["inode_id"] == 0
+    assert reads.View(ledger, 5).locate("/a") is None  # deleted
+    assert [r["revision_no"] for r in v.revisions(3).collect()] == [2, 1] and [r["revision_no"] for r in v.revisions(3, floor=2).collect()] == [2]
+    ids = ledger.sparkSession.createDataFrame([(3,), (2,), (99,)], "inode_id long")
+    assert {r["inode_id"]: (r["path"], r["missing"]) for r in v.stat_inodes(ids).collect()} == {3: ("/c/g.txt", None), 2: ("/a/b", None), 99: (None, "never_created")}
+    with pytest.raises(reads.BelowRetentionFloor):
+        reads.View(ledger, 3, floor=4)
+
+
+def test_paths_of_some_inodes_are_those_of_the_whole_tree(ledger):
+    for at in (1, 3, 5, 7):
+        whole = {r["inode_id"]: r["path"] for r in tree.paths(ledger, at).collect()}
+        some = ledger.sparkSession.createDataFrame([(0,), (2,), (3,), (5,)], "inode_id long")
+        assert {r["inode_id"]: r["path"] for r in tree.paths(ledger, at, of=some).collect()} == {i: p for i, p in whole.items() if i in (0, 2, 3, 5)}
+
+
+def test_too_deep_trees_are_refused(spark):
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 9)], "child_id long, parent_id long")
+    assert tree.chains(edges, 8).count() == 8
+    with pytest.raises(tree.TooDeep):
+        tree.chains(edges, 4)
+
+
+def test_rights_of_many_principals(ledger):
+    t = commit.Tree.load(ledger, 7)
+    rows = commit.plan(t, [{"kind": "update_access", "path": "/a", "grants": {"x": 3, "y": 4}}, {"kind": "update_access", "path": "/a/b", "grants": {"x": 8}, "boundary": True}])
+    more = ledger.unionByName(ledger.sparkSession.createDataFrame([tuple(r[c] for c in S.DELTA_COLUMNS) for r in rows], S.DELTAS))
+    got = {(r["inode_id"], r["principal"]): r["rights"] for r in reads.View(more, 8).effective_rights().collect()}
+    assert got == {(1, "x"): 3, (1, "y"): 4, (2, "x"): 8, (5, "x"): 3, (5, "y"): 4}
+
+
+def test_expired_subtrees_go_in_a_compaction(ledger):
+    deleted = retention.compact(ledger, 6, head=6)
+    assert {r["inode_id"] for r in deleted["inodes"].collect()} == {0, 3, 4}
+    kept = retention.compact(ledger, 4, head=6)
+    assert {r["inode_id"] for r in kept["inodes"].collect()} == {0, 1, 2, 3, 4, 5}
+    assert retention.compact(ledger, 6, drops_rows=False)["bindings"].count() == families.bindings(ledger).count()
+
+
+def test_postings_code():
+    assert postings.coded([7, 8, 300]).hex() == "030701a402" and postings.decoded(bytes.fromhex("030701a402")) == [7, 8, 300]
+    for bad in (b"", b"\x00", b"\x02\x07", b"\x02\x07\x00", b"\x01\x07\x01", b"\x01\x87"):
+        with pytest.raises(ValueError):
+            postings.decoded(bad)
+    with pytest.raises(ValueError):
+        postings.coded([3, 3])
+
+
+def test_namespaces(spark):
+    n = spark.createDataFrame([], namespaces.NAMESPACES)
+    n = namespaces.create(n, "a", "p").withColumn("head_seq", F.lit(9).cast("long"))
+    n = namespaces.fork(n, "a", "b", 4)
+    n = namespaces.rebased(n, "b", "c", 3)
+    assert {(r["namespace_id"], r["fork_point_seq"], r["head_seq"]) for r in namespaces.page(n).collect()} == {("a", None, 9), ("b", 4, 4), ("c", 9, 12)}
+    n = namespaces.delete(n, "a")
+    assert [r["namespace_id"] for r in namespaces.page(n).collect()] == ["b", "c"] and namespaces.retired(n).count() == 0
+    for wrong in (lambda: namespaces.create(n, "a", "p"), lambda: namespaces.fork(n, "a", "d"), lambda: namespaces.fork(n, "b", "d", 99), lambda: namespaces.delete(n, "zz")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_checksums_and_tokens(spark):
+    data = bytes(range(256)) * 100
+    for cut in (0, 1, 5000, len(data)):
+        assert names.crc_joined(names.crc64nvme(data[:cut]), names.crc64nvme(data[cut:]), len(data) - cut) == names.crc64nvme(data)
+    rows = spark.createDataFrame([("n:s", 5, 7)], "ns string, seq long, at long").select(names.binding_version(F.col("ns"), F.col("seq"), F.col("at")).alias("t"))
+    assert tuple(rows.select(names.binding_position(F.col("t")).alias("p")).first()["p"]) == ("n:s", 5, 7)
+    a, b = (spark.createDataFrame([(1, m)], "x long, m map<string,string>").select(names.fingerprint(F.col("x"), F.col("m")).alias("f")).first()[0] for m in ({"a": "1", "b": "2"}, {"b": "2", "a": "1"}))
+    assert a == b
+
+
+def test_one_writer_puts_an_object(spark, ledger, tmp_path):
+    log.append(ledger.where("seq <= 3"), f"file://{tmp_path}/log", 1)
+    with pytest.raises(log.Taken):
+        log.append(ledger.where("seq > 3"), f"file://{tmp_path}/log", 1)
+    files = log.read(spark, f"file://{tmp_path}/log").withColumn("file", F.input_file_name()).groupBy("seq").agg(F.count_distinct("file").alias("n"))
+    assert files.where("n > 1").count() == 0 and files.count() == 4
+
+
+def test_group_commit(spark, tmp_path):
+    schema = "commit_id string, arrived_ms long, delta_index long, kind string, inode_id long"
+    for k, rows in enumerate(([("a", 2, 0, S.CREATE, 1), ("b", 1, 0, S.CREATE, 2), ("b", 1, 1, S.BIND, 2)], [("a", 3, 0, S.CREATE, 1), ("c", 4, 0, S.CREATE, 3)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/requests")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/requests")
+        feed.group_commits(spark, stream, f"{tmp_path}/log", f"{tmp_path}/receipts", f"{tmp_path}/cp", once=True).awaitTermination()
+    assert {(r["commit_id"], r["seq"]) for r in spark.read.parquet(f"{tmp_path}/receipts").collect()} == {("b", 1), ("a", 2), ("c", 3)}
+    got = log.read(spark, f"{tmp_path}/log").collect()
+    assert sorted((r["seq"], r["delta_index"], r["inode_id"]) for r in got) == [(1, 0, 2), (1, 1, 2), (2, 0, 1), (3, 0, 3)]
+
+
 def test_names(spark):
     assert names.fold_name("Straße") == "strasse" and names.fold_name("Ɤ") == "ɤ" and names.fold_name("é") == "é"
     rows = spark.createDataFrame([(x,) for x in ("a", "", ".", "..", "a/b", "con.txt", "x.", "x ", "   ", "a:b", "é" * 127, "é" * 128, None)], "n string")

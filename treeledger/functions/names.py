@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Case folds of Unicode 16 and 17 that older tables lack (fixed values): single letters, then two alphabets by offset.
 NEWER_FOLDS = {"\ua7cb": "\u0264", "\ua7cc": "\ua7cd", "\ua7ce": "\ua7cf", "\ua7d2": "\ua7d3", "\ua7d4": "\ua7d5", "\ua7da": "\ua7db", "\ua7dc": "\u019b"}
@@ -31,6 +32,12 @@ def name_key(names: pd.Series) -> pd.Series:
     return names.map(fold_name, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def path_keys(paths: pd.Series) -> pd.Series:
+    """The name keys of a path's components."""
+    return paths.map(lambda p: [fold_name(x) for x in p.split("/") if x], na_action="ignore")
+
+
 def valid_name(name: Column) -> Column:
     """1 to 255 bytes; no slash, control character or any of ``: ? * | " < > \\``; not ``.``, ``..``, blank, a device name, and
     not ending in a space or dot."""
@@ -81,31 +88,88 @@ def inode_text(numbers: pd.Series) -> pd.Series:
 
 
 def binding_version(namespace: Column, seq: Column, delta_index: Column) -> Column:
-    """Opaque token of a bind's position."""
-    return F.sha2(F.concat_ws(":", namespace, seq.cast("string"), delta_index.cast("string")), 256)
+    """Opaque token of a bind's position, from which the position can be read again: base 64 of the parts."""
+    return F.base64(F.concat_ws(":", seq.cast("string"), delta_index.cast("string"), namespace).cast("binary"))
+
+
+def binding_position(token: Column) -> Column:
+    """namespace, seq and delta_index of a token; null fields where it is none."""
+    parts = F.split(F.try_to_binary(token, F.lit("base64")).cast("string"), ":", 3)
+    return F.struct(F.get(parts, 2).alias("namespace"), F.get(parts, 0).try_cast("bigint").alias("seq"), F.get(parts, 1).try_cast("bigint").alias("delta_index"))
 
 
 def fingerprint(*parts: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+    """Digest of a request's parts, the same for equal requests: names in order, maps by key, nulls told."""
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false", "sortKeys": "true"}), 256)
 
 
-def _crc64_table() -> list[int]:
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ 0x9A6C9329AC4BC9B5 if n & 1 else n >> 1
-        out.append(n)
-    return out
+#: The largest sequence, revision or other number (fixed value).
+MAX_ORDINAL = (1 << 53) - 1
+
+
+def next_ordinal(number: Column) -> Column:
+    """The number after, which may not pass MAX_ORDINAL."""
+    return F.when(number < MAX_ORDINAL, number + 1).otherwise(F.raise_error(F.lit("ordinal out of range")).cast("bigint"))
+
+
+def row_key(kind: str, entity: Column, number: Column) -> Column:
+    """Text key of an entity's row, that sorts by entity and then newest first."""
+    down = F.lit((1 << 63) - 1) - number
+    return F.concat_ws("-", F.lit(kind), F.lpad(entity.cast("string"), 20, "0"), F.lpad(down.cast("string"), 20, "0"))
+
+
+def _crc64_table() -> np.ndarray:
+    n = np.arange(256, dtype=np.uint64)
+    for _ in range(8):
+        n = np.where(n & np.uint64(1), n >> np.uint64(1) ^ np.uint64(0x9A6C9329AC4BC9B5), n >> np.uint64(1))
+    return n
 
 
 _CRC64 = _crc64_table()
 
 
+#: Polynomials, reflected (fixed values).
+CRC32, CRC64 = 0xEDB88320, 0x9A6C9329AC4BC9B5
+_LANES = 1 << 12
+
+
+def _times(matrix: list[int], vector: int) -> int:
+    out, i = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[i]
+        vector, i = vector >> 1, i + 1
+    return out
+
+
+def crc_joined(first: int, second: int, n: int, polynomial: int = CRC64, bits: int = 64) -> int:
+    """Checksum of two strings in a row from that of each and the bytes of the second: passing a zero bit is a linear map of the
+    state, taken to the power of 8 n by squaring."""
+    step = [polynomial, *(1 << i for i in range(bits - 1))]
+    power = 8 * n
+    while power:
+        if power & 1:
+            first = _times(step, first)
+        step, power = [_times(step, x) for x in step], power >> 1
+    return first ^ second
+
+
 def crc64nvme(data: bytes) -> int:
-    crc = 0xFFFFFFFFFFFFFFFF
-    for b in data:
-        crc = _CRC64[(crc ^ b) & 255] ^ crc >> 8
-    return crc ^ 0xFFFFFFFFFFFFFFFF
+    """The text's lanes go byte by byte through the table together; then their checksums are joined."""
+    table = _CRC64
+    n, every = len(data) // _LANES, np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = 0
+    if n:
+        lanes = np.frombuffer(data, np.uint8, n * _LANES).reshape(_LANES, n)
+        crc = np.full(_LANES, every)
+        for k in range(n):
+            crc = table[(crc.astype(np.uint8) ^ lanes[:, k])] ^ (crc >> np.uint64(8))
+        for c in (crc ^ every).tolist():
+            out = crc_joined(out, c, n)
+    rest = 0xFFFFFFFFFFFFFFFF
+    for b in data[n * _LANES :]:
+        rest = int(table[(rest ^ b) & 255]) ^ rest >> 8
+    return crc_joined(out, rest ^ 0xFFFFFFFFFFFFFFFF, len(data) - n * _LANES)
 
 
 @F.pandas_udf(StringType())

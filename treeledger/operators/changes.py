@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from . import families
+from ..sources.shared import stored
+from . import families, tree
 from .asof import newest
-from .reads import View
+from .reads import above_floor
 
 #: What an operation's delta kinds, in order, mean (fixed values).
 PATTERNS = {
@@ -41,10 +42,23 @@ def events(deltas: DataFrame, after: int = 0) -> DataFrame:
     return out.withColumn("event_index", F.row_number().over(w) - 1)
 
 
-def feed(deltas: DataFrame, after: int, limit: int) -> DataFrame:
-    """Events of the next ``limit`` commits that have any, in order."""
+def event_size(event_kind: str = "event_kind", display_name: str = "display_name"):
+    """Bytes that an event counts for in a page: a fixed part, its kind and its name."""
+    return F.lit(64) + F.octet_length(event_kind) + F.coalesce(F.octet_length(display_name), F.lit(0))
+
+
+def feed(deltas: DataFrame, after: int, limit: int, budget: int | None = None, floor: int = 0) -> DataFrame:
+    """Events of the next ``limit`` commits that have any, in order, and of these whole commits while their events' sizes stay within
+    the budget; the first commit always. ``after`` may not lie below the floor."""
+    above_floor(after, floor)
     page = deltas.where(F.col("seq") > after).select("seq").distinct().orderBy("seq").limit(limit)
-    return events(deltas, after).join(page, "seq", "left_semi").orderBy("seq", "event_index")
+    rows = events(deltas, after).join(page, "seq", "left_semi")
+    if budget is not None:
+        size = rows.groupBy("seq").agg(F.sum(event_size()).alias("size"))
+        ahead = F.sum("size").over(Window.orderBy("seq"))  # a row for each of ``limit`` commits
+        within = size.select("seq", "size", ahead.alias("total"), F.min("seq").over(Window.partitionBy(F.lit(0))).alias("first"))
+        rows = rows.join(within.where((F.col("total") <= budget) | (F.col("seq") == F.col("first"))).select("seq"), "seq", "left_semi")
+    return rows.orderBy("seq", "event_index")
 
 
 def feed_within(deltas: DataFrame, after: int, budget: int, size) -> DataFrame:
@@ -63,23 +77,24 @@ def touched(deltas: DataFrame, after: int, to: int) -> DataFrame:
 
 
 def states(deltas: DataFrame, at: int, of: DataFrame, max_depth: int = S.MAX_DEPTH) -> DataFrame:
-    """State of the given inodes: made, path (null unless visible), parent, name, and numbers of their newest rows."""
-    v = View(deltas, at, max_depth)
+    """State of the given inodes: made, path (null unless visible), parent, name, and numbers of their newest rows. Maps are told
+    as text."""
     keep = lambda df: df.join(of.select("inode_id"), "inode_id", "left_semi")
     out = keep(families.inodes(deltas).where(F.col("seq") <= at)).select("inode_id", "inode_kind").distinct()
-    out = out.join(keep(v.paths()).select("inode_id", "path", "path_keys", "parent_id", "display_name"), "inode_id", "left")
+    out = out.join(tree.paths(deltas, at, max_depth, of).select("inode_id", "path", "path_keys", "parent_id", "display_name"), "inode_id", "left")
     out = out.join(newest(keep(families.revisions(deltas)), ["inode_id"], at).select("inode_id", "revision_no", "content_id", F.col("seq").alias("revision_seq")), "inode_id", "left")
-    out = out.join(newest(keep(families.attributes(deltas)), ["inode_id"], at).select("inode_id", "attributes_revision_no", "attributes", F.col("seq").alias("attributes_seq")), "inode_id", "left")
-    return out.join(newest(keep(families.access(deltas)), ["inode_id"], at).select("inode_id", "access_revision_no", "principal", "rights", "boundary", F.col("seq").alias("access_seq")), "inode_id", "left")
+    out = out.join(newest(keep(families.attributes(deltas)), ["inode_id"], at).select("inode_id", "attributes_revision_no", families.told("attributes").alias("attributes"), F.col("seq").alias("attributes_seq")), "inode_id", "left")
+    return out.join(newest(keep(families.access(deltas)), ["inode_id"], at).select("inode_id", "access_revision_no", families.told("grants").alias("grants"), "boundary", F.col("seq").alias("access_seq")), "inode_id", "left")
 
 
-def diff(deltas: DataFrame, after: int, to: int, scope: list[str] = (), max_depth: int = S.MAX_DEPTH) -> DataFrame:
+def diff(deltas: DataFrame, after: int, to: int, scope: list[str] = (), max_depth: int = S.MAX_DEPTH, floor: int = 0) -> DataFrame:
     """Touched inodes that differ between two sequences, by last touch and inode.
 
     Both ends are read only for touched inodes. With a scope: inodes at or below it at either end, and directories above it
     that were deleted, moved or restored.
     """
-    t = touched(deltas, after, to)
+    above_floor(after, floor)
+    t = stored(touched(deltas, after, to), "touched")
     a, b = states(deltas, after, t, max_depth), states(deltas, to, t, max_depth)
     pre = lambda df, p: df.select("inode_id", *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "inode_id"))
     rows = t.join(pre(a, "a"), "inode_id", "left").join(pre(b, "b"), "inode_id", "left")
@@ -104,7 +119,7 @@ def diff(deltas: DataFrame, after: int, to: int, scope: list[str] = (), max_dept
     return out.orderBy("last_touch_seq", "inode_id")
 
 
-def append_offsets(deltas: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Every revision with its size and the size before it, where an append would begin. sizes: content_id, size_bytes."""
+def append_offsets(deltas: DataFrame) -> DataFrame:
+    """Every revision with its size and the size before it, where an append would begin."""
     w = Window.partitionBy("inode_id").orderBy("revision_no")
-    return families.revisions(deltas).join(sizes.select("content_id", "size_bytes"), "content_id").withColumn("append_offset", F.coalesce(F.lag("size_bytes").over(w), F.lit(0)))
+    return families.revisions(deltas).withColumn("append_offset", F.coalesce(F.lag("size_bytes").over(w), F.lit(0)))

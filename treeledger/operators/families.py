@@ -23,7 +23,7 @@ def bindings(deltas: DataFrame) -> DataFrame:
 
 
 def revisions(deltas: DataFrame) -> DataFrame:
-    return _of(deltas, S.REVISE).select("inode_id", "revision_no", "seq", "delta_index", "content_id", *_BY)
+    return _of(deltas, S.REVISE).select("inode_id", "revision_no", "seq", "delta_index", "content_id", "size_bytes", "checksum", *_BY)
 
 
 def tombstones(deltas: DataFrame) -> DataFrame:
@@ -41,7 +41,16 @@ def attributes(deltas: DataFrame) -> DataFrame:
 
 
 def access(deltas: DataFrame) -> DataFrame:
-    return _of(deltas, S.ACCESS).select("inode_id", "access_revision_no", "seq", "delta_index", "boundary", "principal", "rights", *_BY)
+    return _of(deltas, S.ACCESS).select("inode_id", "access_revision_no", "seq", "delta_index", "boundary", "grants", *_BY)
 
 
 FAMILIES = {"inodes": inodes, "bindings": bindings, "revisions": revisions, "tombstones": tombstones, "trash": trash_rows, "attributes": attributes, "access": access}
+
+
+def told(column) -> F.Column:
+    """A map as text that is equal for equal maps: entries k=v in order of key, with semicolons between."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ";")
+
+
+#: Kinds of delta that make each stored family.
+KINDS = {"inodes": (S.CREATE,), "bindings": (S.BIND, S.UNBIND), "revisions": (S.REVISE,), "tombstones": (S.DELETE, S.REVOKE), "attributes": (S.ATTRIBUTES,), "access": (S.ACCESS,)}

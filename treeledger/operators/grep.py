@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import binascii
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,17 @@ def folded(text: Column) -> Column:
 
 
 def eligible(contents: DataFrame) -> DataFrame:
-    """contents with whether they are indexed as text."""
-    nul = F.instr(F.substring("body", 1, NUL_BYTES), "\0")  # within the first characters, which hold the first bytes
-    early = (nul > 0) & (F.octet_length(F.substring(F.col("body"), F.lit(1), nul - 1)) < NUL_BYTES)
-    return contents.withColumn("eligible", (F.octet_length("body") <= MAX_TEXT_BYTES) & ~early)
+    """contents with whether they are indexed as text: not too large, and the first bytes are UTF-8 without NUL; a character that the
+    sample cuts is no fault."""
+    head = F.substring(F.col("body").cast("binary"), 1, NUL_BYTES)
+    size = F.octet_length(head)
+    cut = F.lit(False)
+    for k, lead in ((1, "(C[2-9A-F]|[DE].|F[0-4])"), (2, "(E.|F[0-4])[89AB]."), (3, "F[0-4][89AB].[89AB].")):
+        tail = F.hex(F.substring(head, size - k + 1, F.lit(k)))
+        cut = cut | ((size > k) & tail.rlike(f"^{lead}$") & F.is_valid_utf8(F.substring(head, F.lit(1), size - k).cast("string")))
+    text = F.is_valid_utf8(head.cast("string")) | cut
+    nul = F.instr(head.cast("string"), "\0") > 0
+    return contents.withColumn("eligible", (F.octet_length("body") <= MAX_TEXT_BYTES) & text & ~nul)
 
 
 def gram_rows(contents: DataFrame) -> DataFrame:
@@ -74,18 +82,42 @@ def candidates(index: DataFrame, sets: planner.Sets) -> DataFrame:
     return hit.groupBy("content_id").agg(F.count_distinct("s").alias("n")).where(F.col("n") == len(sets)).select("content_id")
 
 
+def _matched_lines(data: bytes, pattern: re.Pattern) -> Iterator[tuple[int, int, bytes, bool]]:
+    """Number of the line that a match begins in, the match's place, the line's first bytes, and whether there are more. One walk
+    over the text: a line is told once, and a match that goes on over lines hides the lines within it."""
+    text = data.decode("utf-8", "surrogateescape")
+    wide = len(text) != len(data)
+    line_no, line_at, told, chars, at = 1, 0, -1, 0, 0
+    for m in pattern.finditer(text):
+        seen, at = at, at + (len(text[chars : m.start()].encode("utf-8", "surrogateescape")) if wide else m.start() - chars)
+        chars = m.start()
+        if ends := data.count(b"\n", seen, at):
+            line_no, line_at = line_no + ends, data.rfind(b"\n", seen, at) + 1
+        if line_at != told:
+            told = line_at
+            end = data.find(b"\n", at)
+            line = data[line_at : min(len(data) if end < 0 else end, line_at + LINE_BYTES + 1)]
+            yield line_no, at, line[:LINE_BYTES], len(line) > LINE_BYTES
+
+
 def line_matches(contents: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
-    """content_id, line_no (from 1), byte_offset of the first match of the line, line (cut to 512 bytes).
+    """content_id, line_no (from 1), byte_offset of the first match that begins in the line, line (cut to 512 bytes), line_truncated.
 
-    A pattern is matched within lines; it has ``^`` and ``$`` at their ends.
+    The dialect is that of Python's ``re`` without look-around and back-references, with ``^`` and ``$`` at lines' ends; only a
+    line feed ends a line. Bytes that are no UTF-8, and a character that the cut of a line divides, are shown as U+FFFD.
     """
     planner.check(pattern)
-    regex = ("(?i)" if ignore_case else "") + pattern
-    hit = contents.where(F.col("body").rlike("(?m)" + regex)).select("content_id", F.posexplode(F.split("body", "\n")).alias("pos", "line"), F.lit(None).alias("x"), "body").drop("x")
-    before = F.aggregate(F.slice(F.split("body", "\n"), F.lit(1), F.col("pos")), F.lit(0), lambda a, x: a + F.octet_length(x) + 1)
-    at = F.octet_length(F.regexp_extract("line", f"^(.*?)(?:{regex})", 1))
-    rows = hit.where(F.col("line").rlike(regex))
-    return rows.select("content_id", (F.col("pos") + 1).alias("line_no"), (before + at).alias("byte_offset"), F.decode(F.substring(F.col("line").cast("binary"), 1, LINE_BYTES), "UTF-8").alias("line"))
+    flags = re.MULTILINE | (re.IGNORECASE if ignore_case else 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = re.compile(pattern, flags)
+        for batch in batches:
+            found = [(c, *m) for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in _matched_lines(data, compiled)]
+            ids, line_no, at, line, more = zip(*found, strict=True) if found else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(line_no, pa.int64()), pa.array(at, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in line], pa.string()), pa.array(more, pa.bool_())], names=["content_id", "line_no", "byte_offset", "line", "line_truncated"])
+
+    rows = contents.select(F.col("content_id").cast("bigint"), F.col("body").cast("binary").alias("body")).where("content_id is not null and body is not null")
+    return rows.mapInArrow(run, "content_id bigint, line_no bigint, byte_offset bigint, line string, line_truncated boolean")
 
 
 def grep(contents: DataFrame, index: DataFrame | None, pattern: str, ignore_case: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..sources.shared import stored
 from . import tree
 from .changes import states, touched
 
@@ -41,7 +42,7 @@ def _edges(deltas: DataFrame, at: int, p: str) -> DataFrame:
 
 def net_change(fork: DataFrame, after: int, through: int, max_depth: int = S.MAX_DEPTH) -> DataFrame:
     """Touched inodes whose state at the end differs from the start: flags binding, content, attributes, access, visibility."""
-    t = touched(fork, after, through)
+    t = stored(touched(fork, after, through), "touched")
     a, b = _side(states(fork, after, t, max_depth), "base"), _side(states(fork, through, t, max_depth), "ours")
     rows = t.join(a, "inode_id", "left").join(b, "inode_id", "left").join(_edges(fork, after, "base"), "inode_id", "left").join(_edges(fork, through, "ours"), "inode_id", "left")
     ne = lambda c: ~F.col(f"base_{c}").eqNullSafe(F.col(f"ours_{c}"))
@@ -49,7 +50,7 @@ def net_change(fork: DataFrame, after: int, through: int, max_depth: int = S.MAX
         "binding": ne("edge_parent") | ne("edge_name"),
         "content": ne("content_id"),
         "attributes": ne("attributes"),
-        "access": ne("principal") | ne("rights") | ne("boundary"),
+        "access": ne("grants") | ne("boundary"),
         "visibility": F.col("base_path").isNull() != F.col("ours_path").isNull(),
     }
     for k, v in flags.items():
@@ -61,7 +62,7 @@ def classify(fork: DataFrame, target: DataFrame, after: int, through: int, targe
     """inode_id, action (create, delete, restore, move, update, move_update or none), conflict kind, and the flags behind them.
 
     own_seqs: sequences of the target that are merges of this fork."""
-    n = net_change(fork, after, through, max_depth)
+    n = stored(net_change(fork, after, through, max_depth), "net")
     ids = n.select("inode_id")
     theirs = _side(states(target, target_head, ids, max_depth), "theirs").join(_edges(target, target_head, "theirs"), "inode_id", "left")
     hidden = tree.hidden_roots(target, target_head).select(F.col("root_id").alias("inode_id"), F.col("deletion_seq").alias("theirs_deletion_seq"))
@@ -80,7 +81,7 @@ def classify(fork: DataFrame, target: DataFrame, after: int, through: int, targe
     up = {
         "content": F.col("changed_content") & ne("content_id"),
         "attributes": F.col("changed_attributes") & ne("attributes"),
-        "access": F.col("changed_access") & (ne("principal") | ne("rights") | ne("boundary")),
+        "access": F.col("changed_access") & (ne("grants") | ne("boundary")),
     }
     updates = F.when(up["content"] & foreign["revision_seq"], "content").when(up["attributes"] & foreign["attributes_seq"], "attributes").when(up["access"] & foreign["access_seq"], "access")
     any_update = up["content"] | up["attributes"] | up["access"]
@@ -104,6 +105,7 @@ def classify(fork: DataFrame, target: DataFrame, after: int, through: int, targe
     rows = rows.withColumn("action", action).withColumn("conflict", conflict)
     kind = F.coalesce("ours_inode_kind", "theirs_inode_kind")
     out = rows.select("inode_id", kind.alias("inode_kind"), "action", "conflict", "theirs_path", "ours_path", "ours_edge_parent", "ours_edge_name", "ours_edge_key", *(f"changed_{k}" for k in ("binding", "content", "attributes", "access", "visibility")), "last_touch_seq")
+    out = stored(out, "classified")
     below = subtree_conflicts(out, target, fork_point, target_head, max_depth)
     return out.join(below.withColumn("below", F.lit(True)), "inode_id", "left").withColumn("conflict", F.coalesce("conflict", F.when(F.col("below"), "subtree"))).drop("below")
 
@@ -112,8 +114,8 @@ def subtree_conflicts(plan: DataFrame, target: DataFrame, fork_point: int, targe
     """Directories that the plan deletes or moves and below which the target has changed since the fork point."""
     dirs = plan.where("inode_kind = 'directory' and action in ('delete', 'move', 'move_update') and conflict is null").select(F.col("inode_id").alias("dir_id"))
     fresh = target.where((F.col("seq") > fork_point) & (F.col("seq") <= target_head)).select("inode_id").distinct()
-    up = tree.closure(target, target_head, max_depth).where("depth > 0")
-    return up.join(dirs, up["ancestor_id"] == dirs["dir_id"]).join(fresh, "inode_id", "left_semi").select(F.col("dir_id").alias("inode_id")).distinct()
+    up = tree.closure(target, target_head, max_depth, fresh).where("depth > 0")
+    return up.join(dirs, up["ancestor_id"] == dirs["dir_id"]).select(F.col("dir_id").alias("inode_id")).distinct()
 
 
 def name_conflicts(plan: DataFrame, target: DataFrame, target_head: int) -> DataFrame:
@@ -147,6 +149,8 @@ def split_hint(fork: DataFrame, after: int, through: int, most: int) -> int:
 
     first = fork.where((F.col("seq") > after) & (F.col("seq") <= through)).groupBy("inode_id").agg(F.min("seq").alias("seq"))
     per = first.groupBy("seq").agg(F.count("*").alias("n"))
-    total = per.withColumn("total", F.sum("n").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    # the first commits alone can decide: each brings at least one inode
+    few = per.orderBy("seq").limit(most + 1)
+    total = few.withColumn("total", F.sum("n").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
     over = total.where(F.col("total") > most).agg(F.min("seq")).first()[0]
     return through if over is None else max(after + 1, over - 1)

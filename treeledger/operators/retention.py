@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..sources.shared import stored
 from . import families, tree
 from .asof import newest
 
@@ -48,6 +49,12 @@ def keep_bindings(rows: DataFrame, floor: int) -> DataFrame:
     return rows.where(F.col("seq") > floor).unionByName(newest(rows, keys, floor).where("bound").select(*rows.columns))
 
 
+def content_heads(revisions: DataFrame) -> DataFrame:
+    """Of every file the revision with the longest content, the newest of equals."""
+    rest = [c for c in revisions.columns if c != "inode_id"]
+    return revisions.groupBy("inode_id").agg(F.max_by(F.struct(*rest), F.struct("size_bytes", "seq", "delta_index")).alias("r")).select("inode_id", *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
 def keep_layouts(rows: DataFrame) -> DataFrame:
     """Of each content the longest layout, the newest of equals."""
     rest = [c for c in rows.columns if c != "content_id"]
@@ -59,9 +66,17 @@ def kept_inodes(deltas: DataFrame, head: int, floor: int, max_depth: int = S.MAX
     return tree.readable(deltas, head, floor, max_depth).where("allowed").select("inode_id")
 
 
-def compact(deltas: DataFrame, floor: int) -> dict[str, DataFrame]:
-    """The families of a bottom compaction at a floor. Reads at or above the floor are unchanged."""
+def compact(deltas: DataFrame, floor: int, head: int | None = None, drops_rows: bool = True) -> dict[str, DataFrame]:
+    """The families of a compaction at a floor. Reads at or above the floor are unchanged. A compaction that leaves out the oldest
+    run drops nothing. With a head, inodes that an expired deletion hides go too, and the bindings below them; tombstones stay."""
     f = {name: make(deltas) for name, make in families.FAMILIES.items()}
+    if not drops_rows:
+        return f
+    if head is not None:
+        kept = stored(kept_inodes(deltas, head, floor), "kept")
+        for name in ("inodes", "revisions", "attributes", "access"):
+            f[name] = f[name].join(kept, "inode_id", "left_semi")
+        f["bindings"] = f["bindings"].join(kept.select(F.col("inode_id").alias("parent_id")), "parent_id", "left_semi")
     f["bindings"] = keep_bindings(f["bindings"], floor)
     for name, number in (("revisions", "revision_no"), ("attributes", "attributes_revision_no"), ("access", "access_revision_no")):
         f[name] = keep_whole_state(f[name], number, floor)
@@ -119,7 +134,14 @@ def effective_floor(manifest_floor: int, tail_floors: DataFrame) -> int:
     return max(manifest_floor, got or 0)
 
 
-def running_latest(commits: DataFrame) -> DataFrame:
-    """commits with the latest time up to each; used where clocks may run back. Partition by namespace when there are several."""
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return commits.withColumn("latest_ms", F.max("committed_at_ms").over(w))
+#: A floor may not pass what is younger than this (fixed value).
+RETAINED_MS = 24 * 3600 * 1000
+
+
+def advanced_floor(commits: DataFrame, floor: int, head: int, now_ms: int, seq: int | None = None, cutoff_ms: int | None = None) -> int:
+    """The new floor: as asked by sequence or cutoff time (neither: the head), but not past commits of the last RETAINED_MS, and
+    never back."""
+    asked = head if seq is None else min(seq, head)
+    if cutoff_ms is not None:
+        asked = min(asked, floor_at_time(commits, cutoff_ms, floor, head))
+    return max(floor, min(asked, floor_at_time(commits, now_ms - RETAINED_MS, floor, head)))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from . import families
 
 
-def activity(deltas: DataFrame, sizes: DataFrame, after: int = 0) -> DataFrame:
+def activity(deltas: DataFrame, after: int = 0) -> DataFrame:
     """content_bytes and file_revisions appended, and mutations (operations), after a sequence. One row."""
     rows = deltas.where(F.col("seq") > after)
-    revised = families.revisions(rows).join(sizes.select("content_id", "size_bytes"), "content_id").agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("content_bytes"), F.count("*").alias("file_revisions"))
+    revised = families.revisions(rows).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("content_bytes"), F.count("*").alias("file_revisions"))
     ops = rows.select("seq", "op_index").distinct().agg(F.count("*").alias("mutations"))
     return revised.crossJoin(ops)  # one row each
 

@@ -1,7 +1,9 @@
 """The tree as of a sequence: parents, ancestor chains, visibility and paths.
 
-Chains are built by pointer doubling: after k joins every node holds its nearest 2^k ancestors, so the deepest legal tree
-(128) takes seven joins on inode_id and no action in between. A chain that meets its own node is a cycle.
+Chains are built by pointer doubling: after k joins every node holds its nearest 2^k ancestors. Every step is written to the
+shared folder and the steps end when no chain grows, so a tree costs as many as its own depth asks for; one deeper than
+is legal (128), or with a cycle, is refused. Reads of a few inodes climb from these alone: their edges are picked
+from the ledger level by level, and the chains are built of those.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from . import families
 from .asof import newest
 
 
+class TooDeep(ValueError):
+    """A chain of parents is longer than a legal tree is deep, or leads back to itself."""
+
+
 def parents(deltas: DataFrame, at: int) -> DataFrame:
     """child_id, child_kind, parent_id, name_key, display_name, seq of every bound child."""
     return newest(families.bindings(deltas), ["child_id"], at).where("bound").select("child_id", "child_kind", "parent_id", "name_key", "display_name", "seq", "delta_index")
@@ -25,49 +31,95 @@ def slots(deltas: DataFrame, at: int) -> DataFrame:
     return newest(families.bindings(deltas), ["parent_id", "name_key"], at)
 
 
-def hidden_roots(deltas: DataFrame, at: int) -> DataFrame:
-    """root_id and deletion_seq of every subtree whose newest tombstone is set."""
-    return newest(families.tombstones(deltas), ["root_id"], at).where("is_set").select("root_id", F.col("seq").alias("deletion_seq"), "inode_kind")
+def hidden_roots(deltas: DataFrame, at: int, of: DataFrame | None = None) -> DataFrame:
+    """root_id and deletion_seq of every subtree whose newest tombstone is set; ``of``: only of these inodes."""
+    rows = families.tombstones(deltas)
+    if of is not None:
+        rows = rows.join(of.select(F.col("inode_id").alias("root_id")), "root_id", "left_semi")
+    return newest(rows, ["root_id"], at).where("is_set").select("root_id", F.col("seq").alias("deletion_seq"), "inode_kind")
+
+
+def edges_above(deltas: DataFrame, at: int, of: DataFrame, max_depth: int = S.MAX_DEPTH) -> tuple[DataFrame, int]:
+    """The newest binding of the given inodes (inode_id) and of all their ancestors, bound or not, and how many levels that is. Each
+    level reads the bindings of that level's nodes alone, and the climb ends at the root."""
+    rows = families.bindings(deltas).where(F.col("seq") <= at)
+    level = of.select(F.col("inode_id").alias("child_id")).distinct()
+    out, levels = None, 0
+    while levels <= max_depth:
+        got = stored(newest(rows.join(level, "child_id", "left_semi"), ["child_id"]), "climb")
+        out, levels = got if out is None else out.unionByName(got), levels + 1
+        above = got.where(F.col("parent_id") != S.ROOT)
+        if above.isEmpty():
+            return out.dropDuplicates(["child_id"]), levels  # ancestors are met at several levels
+        level = above.select(F.col("parent_id").alias("child_id")).distinct()
+    raise TooDeep(f"over {max_depth} levels")
 
 
-def chains(edges: DataFrame, max_depth: int = S.MAX_DEPTH) -> DataFrame:
+def chains(edges: DataFrame, max_depth: int = S.MAX_DEPTH, cyclic: bool = False, levels: int | None = None) -> DataFrame:
     """For edges (child_id, parent_id, …): child_id, chain (the node, then its ancestors, nearest first; a struct of the edge's
-    columns each) and tip, the node above the last one. A node without an edge ends a chain."""
-    edges = stored(edges, "edges")  # doubling reads them several times
-    step = F.struct(*edges.columns)
-    now = edges.select("child_id", F.array(step).alias("chain"), F.col("parent_id").alias("tip"))
+    columns each) and tip, the node above the last one. A node without an edge ends a chain. Chains that still grow at the
+    greatest depth are refused, unless ``cyclic`` ones are asked for. Where the levels are known, nothing is written between."""
+    now = edges.select("child_id", F.array(F.struct(*edges.columns)).alias("chain"), F.col("parent_id").alias("tip"), F.lit(True).alias("grew"))
+    now = stored(now, "chains") if levels is None else now
     reach = 1
-    while reach < max_depth:
+    while reach <= (max_depth if levels is None else levels - 1):
         up = now.select(F.col("child_id").alias("tip"), F.col("chain").alias("more"), F.col("tip").alias("next"))
-        now = now.join(up, "tip", "left").select("child_id", F.when(F.col("more").isNull(), F.col("chain")).otherwise(F.concat("chain", "more")).alias("chain"), F.when(F.col("more").isNull(), F.col("tip")).otherwise(F.col("next")).alias("tip"))
+        found = F.col("more").isNotNull()
+        now = now.join(up, "tip", "left").select("child_id", F.when(found, F.concat("chain", "more")).otherwise(F.col("chain")).alias("chain"), F.when(found, F.col("next")).otherwise(F.col("tip")).alias("tip"), found.alias("grew"))
         reach *= 2
-    return now
+        if levels is None:
+            now = stored(now, "chains")
+            if now.where("grew").isEmpty():
+                return now.drop("grew")
+    if levels is None and not cyclic and not now.where(F.size("chain") > max_depth).isEmpty():
+        raise TooDeep(f"a chain of over {max_depth} parents")
+    return now.drop("grew")
+
+
+def _bound(deltas: DataFrame, at: int, max_depth: int, of: DataFrame | None) -> tuple[DataFrame, int | None]:
+    """The bound edges of the whole tree, or of the given inodes and what is above them; the levels of the latter."""
+    if of is None:
+        return parents(deltas, at), None
+    edges, levels = edges_above(deltas, at, of, max_depth)
+    return edges.where("bound"), levels
 
 
 def cycles(edges: DataFrame, max_depth: int = S.MAX_DEPTH) -> DataFrame:
     """child_id of nodes that are their own ancestors."""
-    c = chains(edges, max_depth)
+    c = chains(edges, max_depth, cyclic=True)
     return c.where(F.exists("chain", lambda e: e["parent_id"] == F.col("child_id"))).select("child_id")
 
 
-def closure(deltas: DataFrame, at: int, max_depth: int = S.MAX_DEPTH) -> DataFrame:
-    """inode_id, ancestor_id, depth over bound edges, each node its own ancestor at depth 0."""
-    c = chains(parents(deltas, at).select("child_id", "parent_id"), max_depth)
-    nodes = newest(families.inodes(deltas), ["inode_id"], at).select("inode_id")
-    up = c.select(F.col("child_id").alias("inode_id"), F.posexplode(F.transform("chain", lambda e: e["parent_id"])).alias("pos", "ancestor_id"))
-    return up.select("inode_id", "ancestor_id", (F.col("pos") + 1).alias("depth")).unionByName(nodes.select("inode_id", F.col("inode_id").alias("ancestor_id"), F.lit(0).alias("depth")))
+def _made(deltas: DataFrame, at: int, of: DataFrame | None) -> DataFrame:
+    rows = families.inodes(deltas)
+    if of is not None:
+        rows = rows.join(of.select("inode_id"), "inode_id", "left_semi")
+    return newest(rows, ["inode_id"], at)
 
 
-def paths(deltas: DataFrame, at: int, max_depth: int = S.MAX_DEPTH) -> DataFrame:
-    """Every visible inode: inode_id, inode_kind, parent_id, display_name, path, path_keys, depth. Hidden edges are marked before
-    the climb, so visibility needs no join on closure pairs."""
-    hidden = hidden_roots(deltas, at).select(F.col("root_id").alias("child_id"), F.lit(True).alias("hidden"))
-    edges = parents(deltas, at).select("child_id", "parent_id", "name_key", "display_name", "child_kind").join(hidden, "child_id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
-    c = chains(edges, max_depth).where((F.col("tip") == S.ROOT) & ~F.exists("chain", lambda e: e["hidden"]))
+def closure(deltas: DataFrame, at: int, max_depth: int = S.MAX_DEPTH, of: DataFrame | None = None) -> DataFrame:
+    """inode_id, ancestor_id, depth over bound edges, each node its own ancestor at depth 0; ``of``: only of these inodes."""
+    edges, levels = _bound(deltas, at, max_depth, of)
+    c = chains(edges.select("child_id", "parent_id"), max_depth, levels=levels)
+    if of is not None:
+        c = c.join(of.select(F.col("inode_id").alias("child_id")), "child_id", "left_semi")
+    up = c.select(F.col("child_id").alias("inode_id"), F.posexplode(F.transform("chain", lambda e: e["parent_id"])).alias("pos", "ancestor_id"))
+    return up.select("inode_id", "ancestor_id", (F.col("pos") + 1).alias("depth")).unionByName(_made(deltas, at, of).select("inode_id", F.col("inode_id").alias("ancestor_id"), F.lit(0).alias("depth")))
+
+
+def paths(deltas: DataFrame, at: int, max_depth: int = S.MAX_DEPTH, of: DataFrame | None = None) -> DataFrame:
+    """Every visible inode: inode_id, inode_kind, parent_id, display_name, path, path_keys, depth; ``of``: only of these inodes.
+    Hidden edges are marked before the climb, so visibility needs no join on closure pairs."""
+    edges, levels = _bound(deltas, at, max_depth, of)
+    hidden = hidden_roots(deltas, at, None if of is None else edges.select(F.col("child_id").alias("inode_id"))).select(F.col("root_id").alias("child_id"), F.lit(True).alias("hidden"))
+    edges = edges.select("child_id", "parent_id", "name_key", "display_name", "child_kind").join(hidden, "child_id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
+    c = chains(edges, max_depth, levels=levels).where((F.col("tip") == S.ROOT) & ~F.exists("chain", lambda e: e["hidden"]))
+    if of is not None:
+        c = c.join(of.select(F.col("inode_id").alias("child_id")), "child_id", "left_semi")
     down = F.reverse("chain")
     own = F.col("chain")[0]
     rows = c.select(F.col("child_id").alias("inode_id"), own["child_kind"].alias("inode_kind"), own["parent_id"].alias("parent_id"), own["display_name"].alias("display_name"), F.concat(F.lit("/"), F.array_join(F.transform(down, lambda e: e["display_name"]), "/")).alias("path"), F.transform(down, lambda e: e["name_key"]).alias("path_keys"), F.size("chain").alias("depth"))
-    root = newest(families.inodes(deltas), ["inode_id"], at).where(F.col("inode_id") == S.ROOT)
+    root = _made(deltas, at, of).where(F.col("inode_id") == S.ROOT)
     return rows.unionByName(root.select("inode_id", "inode_kind", F.lit(None).cast("bigint").alias("parent_id"), F.lit("").alias("display_name"), F.lit("/").alias("path"), F.array().cast("array<string>").alias("path_keys"), F.lit(0).alias("depth")))
 
 

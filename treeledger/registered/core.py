@@ -16,8 +16,8 @@ from ..sources import fixture
 from ..sources.shared import stored
 from . import sql
 
-#: No path of the fixture is deeper.
-DEPTH = 8
+DEPTH = fixture.S.MAX_DEPTH
+_STORED: dict[tuple, DataFrame] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,13 +27,13 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir, self.m = spark, sf_dir, fixture.marks(spark, sf_dir)
-        self._deltas: dict[str, DataFrame] = {}
 
     def deltas(self, namespace: str = "all") -> DataFrame:
-        """The log as stored: its windows are computed once, and filters on kind and seq reach the files."""
-        if namespace not in self._deltas:
-            self._deltas[namespace] = stored(fixture.deltas(self.spark, self.dir, namespace), f"log-{namespace}")
-        return self._deltas[namespace]
+        """The log as stored, in a folder a kind: made once an application, and filters on kind and seq reach the files."""
+        key = (self.spark.sparkContext.applicationId, self.dir, namespace)
+        if key not in _STORED:
+            _STORED[key] = stored(fixture.deltas(self.spark, self.dir, namespace), f"log-{namespace}", ["kind"])
+        return _STORED[key]
 
     def view(self, mark: str = "mid") -> reads.View:
         return reads.View(self.deltas(), self.m[mark], DEPTH)
@@ -46,8 +46,8 @@ class Ledger:
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    """Integers as bigint, as the oracle has them."""
-    return df.select(*(F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
+    """Integers as bigint and maps as text, as the oracle has them."""
+    return df.select(*(F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") else families.told(c).alias(c) if t.startswith("map<") else F.col(c) for c, t in df.dtypes))
 
 
 def query(name: str, oracle: str | None = None, ctes: str | None = ""):
@@ -84,9 +84,9 @@ def _(g):
     return families.bindings(g.deltas()).select("parent_id", "name_key", "child_id", "seq", "delta_index", "bound", "display_name")
 
 
-@query("family_revisions", "SELECT inode_id, revision_no, seq, content_id, committed_by, committed_at_ms FROM revisions")
+@query("family_revisions", "SELECT inode_id, revision_no, seq, content_id, size_bytes, checksum, committed_by, committed_at_ms FROM revisions")
 def _(g):
-    return families.revisions(g.deltas()).select("inode_id", "revision_no", "seq", "content_id", "committed_by", "committed_at_ms")
+    return families.revisions(g.deltas()).select("inode_id", "revision_no", "seq", "content_id", "size_bytes", "checksum", "committed_by", "committed_at_ms")
 
 
 @query("family_tombstones", "SELECT root_id, inode_kind, seq, is_set, target_seq FROM tombs")
@@ -104,9 +104,9 @@ def _(g):
     return families.attributes(g.deltas()).select("inode_id", "attributes_revision_no", "seq", "attributes")
 
 
-@query("family_access", "SELECT inode_id, access_revision_no, seq, boundary, principal, rights FROM deltas WHERE kind = 'append_access_revision'")
+@query("family_access", "SELECT inode_id, access_revision_no, seq, boundary, grants FROM deltas WHERE kind = 'append_access_revision'")
 def _(g):
-    return families.access(g.deltas()).select("inode_id", "access_revision_no", "seq", "boundary", "principal", "rights")
+    return families.access(g.deltas()).select("inode_id", "access_revision_no", "seq", "boundary", "grants")
 
 
 @query("family_commits", "SELECT 0 AS seq, 'c0' AS commit_id, 'system' AS committed_by, 0 AS committed_at_ms UNION ALL SELECT event_id + 1, 'c' || (event_id + 1), 'usr_' || user_id, epoch_us(ts) // 1000 FROM events", None)
@@ -147,7 +147,7 @@ def _listed(g) -> str:
 
 @query("listdir_at", f"SELECT p.inode_id, p.inode_kind, p.display_name, p.path FROM paths p JOIN paths d ON p.parent_id = d.inode_id WHERE d.path = {_LISTED}", MID)
 def _(g):
-    return g.view().listdir(_listed(g)).select("inode_id", "inode_kind", "display_name", "path")
+    return g.view().listdir(_listed(g).swapcase()).select("inode_id", "inode_kind", "display_name", "path")  # names are told as they are written
 
 
 @query("listdir_page_keyset", f"SELECT p.display_name, p.path FROM paths p JOIN paths d ON p.parent_id = d.inode_id WHERE d.path = {_LISTED} AND lower(p.display_name) > 'user_1' ORDER BY lower(p.display_name) LIMIT 10", MID)
@@ -232,24 +232,24 @@ def _(g):
     return g.view().walk([x.lower() for x in _listed(g).split("/")[1:]]).select("path", "depth")
 
 
-_ASKED = "(SELECT '/' || r_name || '/' || n_name || '/User_' || c_custkey || '/Inbox/F' || (c_custkey % 10) || '.txt' AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_ASKED = "(SELECT '/' || r_name || '/' || n_name || '/User_' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '/Inbox/F' ELSE '/inBOX/f' END || (c_custkey % 10) || '.txt' AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
 def _asked(g) -> DataFrame:
     t = lambda n: fixture.table(g.spark, g.dir, n)
     rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select(F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name", F.lit("/User_"), F.col("c_custkey"), F.lit("/Inbox/F"), F.col("c_custkey") % 10, F.lit(".txt")).alias("path"))
+    return rows.select(F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name", F.lit("/User_"), F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, "/Inbox/F").otherwise("/inBOX/f"), F.col("c_custkey") % 10, F.lit(".txt")).alias("path"))
 
 
 _REV = f"rev AS (SELECT inode_id, revision_no, content_id FROM revisions, marks WHERE seq <= mid {PICK.format('inode_id')}), att AS (SELECT inode_id, attributes_revision_no, attributes FROM deltas, marks WHERE kind = 'append_attributes_revision' AND seq <= mid {PICK.format('inode_id')})"
 
 
-@query("resolve_paths", f"SELECT a.path, p.inode_id FROM {_ASKED} a JOIN paths p USING (path)", MID)
+@query("resolve_paths", f"SELECT a.path, p.inode_id, p.path AS found_path FROM {_ASKED} a JOIN paths p ON lower(p.path) = lower(a.path)", MID)
 def _(g):
-    return g.view().stat(_asked(g)).where("found").select("path", "inode_id")
+    return g.view().resolve(_asked(g))
 
 
-@query("stat_by_path", f"SELECT a.path, p.inode_id IS NOT NULL AS found, p.inode_id, r.revision_no, CASE WHEN p.inode_id IS NOT NULL THEN coalesce(t.attributes_revision_no, 0) END AS attributes_revision_no FROM {_ASKED} a LEFT JOIN paths p USING (path) LEFT JOIN rev r ON r.inode_id = p.inode_id LEFT JOIN att t ON t.inode_id = p.inode_id", MID + ", " + _REV)
+@query("stat_by_path", f"SELECT a.path, p.inode_id IS NOT NULL AS found, p.inode_id, r.revision_no, CASE WHEN p.inode_id IS NOT NULL THEN coalesce(t.attributes_revision_no, 0) END AS attributes_revision_no FROM {_ASKED} a LEFT JOIN paths p ON lower(p.path) = lower(a.path) LEFT JOIN rev r ON r.inode_id = p.inode_id LEFT JOIN att t ON t.inode_id = p.inode_id", MID + ", " + _REV)
 def _(g):
     return g.view().stat(_asked(g)).select("path", "found", "inode_id", "revision_no", "attributes_revision_no")
 
@@ -306,9 +306,9 @@ def _(g):
     return g.view().attributes().select("inode_id", "attributes_revision_no", "attributes")
 
 
-@query("access_at", f"SELECT inode_id, access_revision_no, boundary, principal, rights FROM deltas, marks WHERE kind = 'append_access_revision' AND seq <= mid {PICK.format('inode_id')}")
+@query("access_at", f"SELECT inode_id, access_revision_no, boundary, grants FROM deltas, marks WHERE kind = 'append_access_revision' AND seq <= mid {PICK.format('inode_id')}")
 def _(g):
-    return g.view().access().select("inode_id", "access_revision_no", "boundary", "principal", "rights")
+    return g.view().access().select("inode_id", "access_revision_no", "boundary", "grants")
 
 
 @query("trash_at_floor", "SELECT s.seq AS deletion_seq, s.root_id, s.inode_kind FROM tombs s, marks WHERE s.is_set AND s.seq > floor_seq AND s.seq <= late AND NOT EXISTS (SELECT 1 FROM tombs r WHERE NOT r.is_set AND r.root_id = s.root_id AND r.target_seq = s.seq AND r.seq <= late)")
@@ -336,9 +336,10 @@ def _(g):
     return tree.readable(g.deltas(), g.m["late"], g.m["floor"], DEPTH)
 
 
-_RIGHTS = f"""acc AS (SELECT inode_id, boundary, principal, rights FROM deltas, marks WHERE kind = 'append_access_revision' AND seq <= mid {PICK.format('inode_id')}),
+_RIGHTS = f"""acc AS (SELECT inode_id, boundary, grants FROM deltas, marks WHERE kind = 'append_access_revision' AND seq <= mid {PICK.format('inode_id')}),
  reach AS (SELECT inode_id, inode_id AS node FROM paths UNION ALL SELECT r.inode_id, p.parent_id FROM reach r JOIN paths p ON p.inode_id = r.node LEFT JOIN acc a ON a.inode_id = r.node WHERE p.parent_id IS NOT NULL AND NOT coalesce(a.boundary, false)),
- eff AS (SELECT r.inode_id, a.principal, bit_or(a.rights & CASE WHEN a.inode_id = 0 THEN 255 ELSE 127 END) AS rights FROM reach r JOIN acc a ON a.inode_id = r.node GROUP BY ALL)"""
+ gr AS (SELECT inode_id, split_part(g, '=', 1) AS principal, CAST(split_part(g, '=', 2) AS BIGINT) AS rights FROM (SELECT inode_id, unnest(string_split(grants, ';')) AS g FROM acc)),
+ eff AS (SELECT r.inode_id, a.principal, bit_or(a.rights & CASE WHEN a.inode_id = 0 THEN 255 ELSE 127 END) AS rights FROM reach r JOIN gr a ON a.inode_id = r.node GROUP BY ALL)"""
 
 
 @query("effective_rights", "SELECT inode_id, principal, rights FROM eff", MID + ", " + _RIGHTS)
@@ -346,9 +347,9 @@ def _(g):
     return g.view().effective_rights()
 
 
-@query("admins", "SELECT principal FROM acc WHERE inode_id = 0 AND rights & 128 <> 0", MID + ", " + _RIGHTS)
+@query("admins", "SELECT principal FROM gr WHERE inode_id = 0 AND rights & 128 <> 0", MID + ", " + _RIGHTS)
 def _(g):
-    return g.view().access().where((F.col("inode_id") == 0) & (F.col("rights").bitwiseAND(128) != 0)).select("principal")
+    return g.view().access().where("inode_id = 0").select(F.explode("grants").alias("principal", "rights")).where(F.col("rights").bitwiseAND(128) != 0).select("principal")
 
 
 @query("listing_masked_by_rights", "SELECT p.inode_id, p.path, e.inode_id IS NOT NULL AS readable, CASE WHEN e.inode_id IS NOT NULL THEN r.content_id END AS content_id FROM paths p LEFT JOIN rev r USING (inode_id) LEFT JOIN eff e ON e.inode_id = p.inode_id AND e.principal = 'p1' AND e.rights & 1 <> 0 WHERE p.inode_kind = 'file'", MID + ", " + _REV + ", " + _RIGHTS)
@@ -360,15 +361,22 @@ def _(g):
 _SIZES = "SELECT doc_id AS content_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes, coalesce(text, '') AS body FROM documents"
 
 
-@query("content_head", f"SELECT inode_id, max(size_bytes) AS size_bytes FROM revisions JOIN ({_SIZES}) USING (content_id) GROUP BY inode_id")
+#: Layout rows: the extents that the lines of an order write of a part.
+_LAYOUTS = "SELECT l_partkey AS content_id, CAST(floor(l_extendedprice) AS BIGINT) AS size_bytes, max(l_orderkey) AS seq FROM lineitem GROUP BY ALL"
+
+
+def layouts(g) -> DataFrame:
+    return fixture.table(g.spark, g.dir, "lineitem").groupBy(F.col("l_partkey").alias("content_id"), F.floor("l_extendedprice").cast("bigint").alias("size_bytes")).agg(F.max("l_orderkey").alias("seq"))
+
+
+@query("content_head", "SELECT inode_id, max(size_bytes) AS size_bytes, arg_max(revision_no, size_bytes * 1000000000 + seq) AS revision_no FROM revisions GROUP BY inode_id")
 def _(g):
-    return families.revisions(g.deltas()).join(g.contents().select("content_id", "size_bytes"), "content_id").groupBy("inode_id").agg(F.max("size_bytes").alias("size_bytes"))
+    return retention.content_heads(families.revisions(g.deltas())).select("inode_id", "size_bytes", "revision_no")
 
 
-@query("content_layout_longest", "SELECT content_id, size_bytes, seq FROM (SELECT content_id, (seq * 7919) % 1000 AS size_bytes, seq FROM revisions) QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY size_bytes DESC, seq DESC) = 1")
+@query("content_layout_longest", f"SELECT content_id, size_bytes, seq FROM ({_LAYOUTS}) QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY size_bytes DESC, seq DESC) = 1", None)
 def _(g):
-    layouts = families.revisions(g.deltas()).select("content_id", ((F.col("seq") * 7919) % 1000).alias("size_bytes"), "seq")
-    return retention.keep_layouts(layouts)
+    return retention.keep_layouts(layouts(g))
 
 
 # ---- changes
@@ -376,12 +384,12 @@ def _(g):
 _KINDS = """CASE kinds WHEN 'create_inode,bind_direntry' THEN 'directory_created' WHEN 'create_inode,bind_direntry,append_file_revision' THEN 'file_created' WHEN 'append_file_revision' THEN 'content_changed'
  WHEN 'unbind_direntry,bind_direntry' THEN 'moved' WHEN 'unbind_direntry,tombstone_subtree' THEN 'deleted' WHEN 'revoke_subtree_tombstone,bind_direntry' THEN 'restored'
  WHEN 'append_attributes_revision' THEN 'attributes_changed' WHEN 'append_access_revision' THEN 'access_changed' ELSE 'corrupt' END"""
-_EVENTS = f"feed AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY op_index) - 1 AS event_index, {_KINDS} AS event_kind, inode_id, parent_id, revision_no FROM (SELECT seq, op_index, string_agg(kind, ',' ORDER BY delta_index) AS kinds, arg_min(inode_id, delta_index) AS inode_id, max(parent_id) FILTER (kind = 'bind_direntry') AS parent_id, max(revision_no) AS revision_no FROM deltas GROUP BY seq, op_index))"
+_EVENTS = f"feed AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY op_index) - 1 AS event_index, {_KINDS} AS event_kind, inode_id, parent_id, revision_no, display_name FROM (SELECT seq, op_index, string_agg(kind, ',' ORDER BY delta_index) AS kinds, arg_min(inode_id, delta_index) AS inode_id, max(parent_id) FILTER (kind = 'bind_direntry') AS parent_id, max(display_name) FILTER (kind = 'bind_direntry') AS display_name, max(revision_no) AS revision_no FROM deltas GROUP BY seq, op_index))"
 
 
 @query("events_all", "SELECT * FROM feed WHERE seq > 0", _EVENTS)
 def _(g):
-    return changes.events(g.deltas()).select("seq", "event_index", "event_kind", "inode_id", "parent_id", "revision_no")
+    return changes.events(g.deltas()).select("seq", "event_index", "event_kind", "inode_id", "parent_id", "revision_no", "display_name")
 
 
 @query("events_by_kind", "SELECT event_kind, count(*) AS n FROM feed GROUP BY ALL", _EVENTS)
@@ -394,14 +402,19 @@ def _(g):
     return changes.feed(g.deltas(), g.m["mid"], 100).select("seq", "event_index", "event_kind", "inode_id")
 
 
-@query("changes_split", "SELECT seq, event_index, event_kind FROM (SELECT *, sum(length(event_kind)) OVER (ORDER BY seq, event_index) AS total FROM feed, marks WHERE seq >= s1) WHERE total <= 3000", _EVENTS)
+@query("changes_split", "SELECT seq, event_index, event_kind FROM (SELECT *, sum(64 + length(event_kind) + coalesce(strlen(display_name), 0)) OVER (ORDER BY seq, event_index) AS total FROM feed, marks WHERE seq >= s1) WHERE total <= 9000", _EVENTS)
+def _(g):
+    return changes.feed_within(g.deltas(), g.m["s1"] - 1, 9000, changes.event_size()).select("seq", "event_index", "event_kind")
+
+
+@query("changes_page_budget", "SELECT seq, event_index, event_kind FROM feed WHERE seq IN (SELECT seq FROM (SELECT seq, sum(sum(64 + length(event_kind) + coalesce(strlen(display_name), 0))) OVER (ORDER BY seq) AS total, row_number() OVER (ORDER BY seq) AS n FROM feed, marks WHERE seq > mid GROUP BY seq) WHERE n <= 100 AND (total <= 5000 OR n = 1))", _EVENTS)
 def _(g):
-    return changes.feed_within(g.deltas(), g.m["s1"] - 1, 3000, F.length("event_kind")).select("seq", "event_index", "event_kind")
+    return changes.feed(g.deltas(), g.m["mid"], 100, 5000, g.m["floor"]).select("seq", "event_index", "event_kind")
 
 
-@query("append_offsets", f"SELECT inode_id, revision_no, size_bytes, coalesce(lag(size_bytes) OVER (PARTITION BY inode_id ORDER BY revision_no), 0) AS append_offset FROM revisions JOIN ({_SIZES}) USING (content_id)")
+@query("append_offsets", "SELECT inode_id, revision_no, size_bytes, coalesce(lag(size_bytes) OVER (PARTITION BY inode_id ORDER BY revision_no), 0) AS append_offset FROM revisions")
 def _(g):
-    return changes.append_offsets(g.deltas(), g.contents()).select("inode_id", "revision_no", "size_bytes", "append_offset")
+    return changes.append_offsets(g.deltas()).select("inode_id", "revision_no", "size_bytes", "append_offset")
 
 
 def _state(tag: str, at: str) -> str:
@@ -442,9 +455,9 @@ def _(g):
     return changes.touched(g.deltas(), g.m["mid"], g.m["late"])
 
 
-@query("activity_counters", f"SELECT CAST(sum(size_bytes) AS BIGINT) AS content_bytes, count(*) AS file_revisions, (SELECT count(*) FROM (SELECT DISTINCT seq, op_index FROM deltas, marks WHERE seq > floor_seq)) AS mutations FROM (SELECT * FROM revisions, marks WHERE seq > floor_seq) JOIN ({_SIZES}) USING (content_id)")
+@query("activity_counters", "SELECT CAST(sum(size_bytes) AS BIGINT) AS content_bytes, count(*) AS file_revisions, (SELECT count(*) FROM (SELECT DISTINCT seq, op_index FROM deltas, marks WHERE seq > floor_seq)) AS mutations FROM revisions, marks WHERE seq > floor_seq")
 def _(g):
-    return stats.activity(g.deltas(), g.contents(), g.m["floor"])
+    return stats.activity(g.deltas(), g.m["floor"])
 
 
 _FOOT = {"inodes": ("inodes", "inode_id"), "bindings": ("binds", "child_id"), "revisions": ("revisions", "inode_id"), "tombstones": ("tombs", "root_id"), "trash": ("tombs", "root_id"), "attributes": ("(SELECT * FROM deltas WHERE kind = 'append_attributes_revision')", "inode_id"), "access": ("(SELECT * FROM deltas WHERE kind = 'append_access_revision')", "inode_id")}

@@ -15,7 +15,7 @@ from ..sources import fixture, log
 from ..sources.shared import folder, stored
 from ..streaming import feed
 from . import sql
-from .core import _CLIMB, _EVENTS, _REV, _SIZES, DEPTH, MID, PICK, query
+from .core import _CLIMB, _EVENTS, _LAYOUTS, _REV, _SIZES, DEPTH, MID, PICK, layouts, query
 
 # ---- text search
 
@@ -38,10 +38,9 @@ def _(g):
     return grep.eligible(g.contents()).select("content_id", "eligible")
 
 
-@query("value_table", f"SELECT content_id, any_value(size_bytes) AS size_bytes, count(DISTINCT inode_id) AS files FROM revisions JOIN ({_SIZES}) USING (content_id) GROUP BY content_id")
+@query("value_table", "SELECT content_id, any_value(size_bytes) AS size_bytes, count(DISTINCT inode_id) AS files FROM revisions GROUP BY content_id")
 def _(g):
-    r = families.revisions(g.deltas()).groupBy("content_id").agg(F.count_distinct("inode_id").alias("files"))
-    return r.join(g.contents().select("content_id", "size_bytes"), "content_id").select("content_id", "size_bytes", "files")
+    return families.revisions(g.deltas()).groupBy("content_id").agg(F.first("size_bytes").alias("size_bytes"), F.count_distinct("inode_id").alias("files"))
 
 
 @query("content_revisions", "SELECT content_id, inode_id, revision_no FROM revisions")
@@ -67,17 +66,17 @@ def _grep(name: str, pattern: str, ignore_case: bool = False) -> None:
 
 _grep("grep_literal", "thtion")
 _grep("grep_alternation", "whsting|euxaux|keitung")
-_grep("grep_ignore_case", "the andst", True)
-_grep("grep_unindexed_scan", "^A.* is .*e$")
+_grep("grep_ignore_case", "THtiON", True)
+_grep("grep_unindexed_scan", "^I.*y[.]$")
 
 
-@query("grep_index_equals_scan", "SELECT 0 AS only_index, 0 AS only_scan", None)
+@query("grep_index_equals_scan", f"WITH {_lines('ing.+tion[a-z]*ed')} SELECT 0 AS only_index, 0 AS only_scan, count(*) AS lines FROM found", None)
 def _(g):
     c = g.contents()
     a = grep.grep(c, grep.postings(c), "ing.+tion[a-z]*ed").select("content_id", "line_no", "byte_offset")
     b = grep.grep(c, None, "ing.+tion[a-z]*ed").select("content_id", "line_no", "byte_offset")
     one, two = a.exceptAll(b).agg(F.count("*").alias("only_index")), b.exceptAll(a).agg(F.count("*").alias("only_scan"))
-    return one.crossJoin(two)
+    return one.crossJoin(two).crossJoin(a.agg(F.count("*").alias("lines")))  # one row each
 
 
 @query("grep_scoped", f"SELECT f.inode_id, p.path, CAST(f.line_no AS BIGINT) AS line_no FROM (SELECT r.inode_id, found.line_no FROM rev r JOIN found USING (content_id)) f JOIN paths p USING (inode_id) WHERE starts_with(p.path, (SELECT '/' || r_name || '/' FROM region WHERE r_regionkey = 0))", MID + ", " + _REV + ", " + _lines("thtion"))
@@ -94,9 +93,9 @@ def _(g):
     return old.join(hits, "content_id").groupBy("inode_id", "revision_no").agg(F.count("*").alias("lines"))
 
 
-@query("gram_plan")
+@query("gram_plan", "SELECT * FROM (VALUES ('needle', false, 0, '6e6565'), ('needle', false, 1, '656564'), ('needle', false, 2, '65646c'), ('needle', false, 3, '646c65'), ('NeEdLe', true, 0, '6e6565'), ('NeEdLe', true, 1, '656564'), ('NeEdLe', true, 2, '65646c'), ('NeEdLe', true, 3, '646c65'), ('^(ab)(cd)$', false, 0, '616263'), ('^(ab)(cd)$', false, 1, '626364'), ('cat|cow', false, 0, '636174,636f77'), ('foo.+bar', false, 0, '666f6f'), ('foo.+bar', false, 1, '626172'), ('straße', true, 0, '747261'), ('(cat)+', false, 0, '636174'), ('ab', false, 0, ''), ('.*', false, 0, '')) v(pattern, ignore_case, set_no, grams)", None)
 def _(g):
-    rows = [(p, i, n, ",".join(sorted(x.hex() for x in s))) for p, i in (("needle", False), ("NeEdLe", True), ("^(ab)(cd)$", False), ("needle|haystack", False), ("foo.+bar", False), ("straße", True), ("(needle)+", False), ("ab", False), (".*", False)) for n, s in enumerate(grams.plan(p, i) or [frozenset()])]
+    rows = [(p, i, n, ",".join(sorted(x.hex() for x in s))) for p, i in (("needle", False), ("NeEdLe", True), ("^(ab)(cd)$", False), ("cat|cow", False), ("foo.+bar", False), ("straße", True), ("(cat)+", False), ("ab", False), (".*", False)) for n, s in enumerate(grams.plan(p, i) or [frozenset()])]
     return g.spark.createDataFrame(rows, "pattern string, ignore_case boolean, set_no bigint, grams string")
 
 
@@ -141,10 +140,9 @@ def _(g):
     return retention.keep_commits(g.commits(), g.m["floor"]).select("seq", "commit_id")
 
 
-@query("retain_layouts", "SELECT content_id, max(size_bytes * 1000000 + seq) AS best FROM (SELECT content_id, (seq * 7919) % 1000 AS size_bytes, seq FROM revisions) GROUP BY content_id")
+@query("retain_layouts", f"SELECT content_id, max(size_bytes * 1000000 + seq) AS best FROM ({_LAYOUTS}) GROUP BY content_id", None)
 def _(g):
-    rows = families.revisions(g.deltas()).select("content_id", ((F.col("seq") * 7919) % 1000).alias("size_bytes"), "seq")
-    return retention.keep_layouts(rows).select("content_id", (F.col("size_bytes") * 1000000 + F.col("seq")).alias("best"))
+    return retention.keep_layouts(layouts(g)).select("content_id", (F.col("size_bytes") * 1000000 + F.col("seq")).alias("best"))
 
 
 @query("kept_inodes", "SELECT inode_id FROM climb CROSS JOIN marks LEFT JOIN hid ON hid.root_id = node GROUP BY inode_id HAVING CASE WHEN max(deletion_seq) IS NOT NULL THEN max(deletion_seq) > any_value(floor_seq) ELSE bool_or(node = 0) END", _CLIMB)
@@ -171,7 +169,7 @@ def _(g):
     return tree.paths(kept, g.m["mid"], DEPTH).select("inode_id", "path")
 
 
-@query("compaction_window")
+@query("compaction_window", "SELECT * FROM (VALUES (0, 4, 0, 4), (1, 5, 1, 5), (2, 2, NULL, NULL), (3, 12, 0, 8), (4, 9, 5, 9), (5, 8, NULL, NULL)) v(case_no, runs, first, past)", None)
 def _(g):
     cases = [[10, 9, 8, 7], [1000, 10, 9, 8, 7], [100, 100], [1] * 12, [4096, 1024, 256, 64, 16, 4, 2, 1, 1], [50000, 10000, 2000, 400, 80, 16, 3, 1]]
     rows = [(i, len(c), w.start if (w := compaction.window(c, len(c) - 1)) else None, w.stop if w else None) for i, c in enumerate(cases)]
@@ -183,17 +181,17 @@ def _(g):
 
 def _st(tag: str, at: str, lt: str) -> str:
     pick = lambda kind, cols: f"(SELECT inode_id, {cols} FROM deltas{lt}, marks WHERE kind = '{kind}' AND seq <= {at} {PICK.format('inode_id')})"
-    return f"""{sql.tree(at, tag, lt)}, st{tag} AS (SELECT i.inode_id, i.inode_kind, p.path, e.parent_id AS ep, e.display_name AS en, e.name_key AS ek, e.seq AS es, r.content_id, r.rs, a.attributes, a.ats, x.principal, x.rights, x.boundary, x.xs
+    return f"""{sql.tree(at, tag, lt)}, st{tag} AS (SELECT i.inode_id, i.inode_kind, p.path, e.parent_id AS ep, e.display_name AS en, e.name_key AS ek, e.seq AS es, r.content_id, r.rs, a.attributes, a.ats, x.grants, x.boundary, x.xs
  FROM inodes{lt} i CROSS JOIN marks LEFT JOIN paths{tag} p USING (inode_id) LEFT JOIN parents{tag} e ON e.child_id = i.inode_id LEFT JOIN {pick('append_file_revision', 'content_id, seq AS rs')} r USING (inode_id)
- LEFT JOIN {pick('append_attributes_revision', 'attributes, seq AS ats')} a USING (inode_id) LEFT JOIN {pick('append_access_revision', 'principal, rights, boundary, seq AS xs')} x USING (inode_id) WHERE i.seq <= {at})"""
+ LEFT JOIN {pick('append_attributes_revision', 'attributes, seq AS ats')} a USING (inode_id) LEFT JOIN {pick('append_access_revision', 'grants, boundary, seq AS xs')} x USING (inode_id) WHERE i.seq <= {at})"""
 
 
 _TWO = f"WITH RECURSIVE {sql.ledger('fork', '_f')}, {sql.ledger('main', '_m', False)}, {_st('_o', 'n', '_f')}, {_st('_s', 'mid', '_f')}, {_st('_t', 'n', '_m')}"
 _NE = lambda a, b, *cs: "(" + " OR ".join(f"{a}.{c} IS DISTINCT FROM {b}.{c}" for c in cs) + ")"
 _MERGE = f"""{_TWO}, t AS (SELECT DISTINCT inode_id FROM deltas_f, marks WHERE seq > mid),
- j AS (SELECT t.inode_id, coalesce(o.inode_kind, h.inode_kind) AS inode_kind, {_NE('s', 'o', 'ep', 'en')} AS cb, {_NE('s', 'o', 'content_id')} AS cc, {_NE('s', 'o', 'attributes')} AS ca, {_NE('s', 'o', 'principal', 'rights', 'boundary')} AS cx, (s.path IS NULL) <> (o.path IS NULL) AS cv,
+ j AS (SELECT t.inode_id, coalesce(o.inode_kind, h.inode_kind) AS inode_kind, {_NE('s', 'o', 'ep', 'en')} AS cb, {_NE('s', 'o', 'content_id')} AS cc, {_NE('s', 'o', 'attributes')} AS ca, {_NE('s', 'o', 'grants', 'boundary')} AS cx, (s.path IS NULL) <> (o.path IS NULL) AS cv,
   h.inode_id IS NOT NULL AS made, h.path IS NOT NULL AS seen, h.es IS NOT NULL AS edge, o.path IS NOT NULL AS oseen, o.es IS NOT NULL AS oedge, h.es > mid AS fe, h.rs > mid AS fr, h.ats > mid AS fa, h.xs > mid AS fx, d.seq AS ds, d.seq <= mid AS own_deletion,
-  {_NE('h', 'o', 'ep', 'en')} AS ne, {_NE('h', 'o', 'content_id')} AS nc, {_NE('h', 'o', 'attributes')} AS na, {_NE('h', 'o', 'principal', 'rights', 'boundary')} AS nx, o.ep AS oep, o.ek AS oek
+  {_NE('h', 'o', 'ep', 'en')} AS ne, {_NE('h', 'o', 'content_id')} AS nc, {_NE('h', 'o', 'attributes')} AS na, {_NE('h', 'o', 'grants', 'boundary')} AS nx, o.ep AS oep, o.ek AS oek
   FROM t CROSS JOIN marks LEFT JOIN st_s s ON s.inode_id = t.inode_id LEFT JOIN st_o o ON o.inode_id = t.inode_id LEFT JOIN st_t h ON h.inode_id = t.inode_id
   LEFT JOIN (SELECT root_id, seq FROM (SELECT * FROM tombs_m {PICK.format('root_id')}) WHERE is_set) d ON d.root_id = t.inode_id),
  net AS (SELECT * FROM j WHERE cb OR cc OR ca OR cx OR cv),
@@ -281,7 +279,7 @@ def _(g):
     return g.spark.createDataFrame([(merge.split_hint(g.deltas("fork"), g.m["mid"], g.m["n"], 40),)], "through_seq bigint")
 
 
-@query("merge_operation_order")
+@query("merge_operation_order", "SELECT * FROM (VALUES (0, 8, 'create', 'new'), (1, 7, 'create', 'x'), (2, 9, 'move', 'kept'), (3, 10, 'delete', NULL), (4, 5, 'park', '5'), (5, 6, 'move', 'a'), (6, 5, 'move', 'b')) v(position, inode_id, action, name)", None)
 def _(g):
     changes = {5: {"action": "move", "parent": 1, "name": "b"}, 6: {"action": "move", "parent": 1, "name": "a"}, 7: {"action": "create", "parent": 8, "name": "x"}, 8: {"action": "create", "parent": 1, "name": "new"}, 9: {"action": "move", "parent": 1, "name": "kept"}, 10: {"action": "delete"}}
     done = ordering.ordered(changes, {(1, "a"): 5, (1, "b"): 6, (10, "f"): 9, (1, "dir"): 10})
@@ -296,7 +294,7 @@ def _written_log(g, parts: int = 4) -> str:
     path = f"{folder(g.spark)}/stream-{uuid.uuid4().hex}"
     n = g.m["n"]
     for i in range(parts):
-        log.append(g.deltas().where((F.col("seq") > n * i // parts - (i == 0)) & (F.col("seq") <= n * (i + 1) // parts)), f"{path}/log")
+        log.append(g.deltas().where((F.col("seq") > n * i // parts - (i == 0)) & (F.col("seq") <= n * (i + 1) // parts)), f"{path}/log", i)
     return path
 
 
@@ -318,7 +316,7 @@ def _(g):
 def _(g):
     at = _written_log(g)
     feed.index(g.spark, f"{at}/log", g.contents(), f"{at}/index", f"{at}/cp").awaitTermination()
-    return g.spark.read.parquet(f"{at}/index").groupBy("gram").agg(F.count("*").alias("n_contents"))
+    return g.spark.read.parquet(f"{at}/index/postings").groupBy("gram").agg(F.count("*").alias("n_contents"))
 
 
 @query("dedup_commit_ids", "SELECT 'r' || (event_id % 700) AS commit_id, min(event_id) + 1 AS seq, count(*) AS attempts, count(DISTINCT event_type) > 1 AS conflict FROM events GROUP BY 1", None)
@@ -379,7 +377,7 @@ def _(g):
     return g.view().paths().select("path", names.parent_path(p).alias("parent_path"), F.size(names.components(p)).alias("n"))
 
 
-@query("precondition_mismatch")
+@query("precondition_mismatch", "SELECT * FROM (VALUES (0, 'namespace_head', NULL), (1, 'namespace_head', 'precondition_failed'), (2, 'file_revision', NULL), (3, 'file_revision', 'precondition_failed'), (4, 'path_absence', 'precondition_failed'), (5, 'path_absence', NULL), (6, 'name_absence', 'precondition_failed'), (7, 'attributes_revision', NULL), (8, 'access_revision', 'precondition_failed')) v(case_no, kind, refused)", None)
 def _(g):
     t = commit.Tree(3)
     commit.plan(t, [{"kind": "put_file", "path": "/a/f.txt", "content_id": 1}])

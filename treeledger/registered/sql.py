@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from ..schema import DELTA_COLUMNS
-from ..sources.fixture import FILE, FOLDER, NATION, USER
+from ..sources.fixture import FILE, FOLDER, NATION, OTHER, USER
 
 _KEEP = {"all": "true", "main": "(seq <= n // 2 or user_id % 3 in (1, 2))", "fork": "(seq <= n // 2 or user_id % 3 in (0, 2))"}
-_TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+_TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "map<string,string>": "VARCHAR", "map<string,bigint>": "VARCHAR"}
+#: Maps as text: entries k=v in order of key, with semicolons between.
+ATTRIBUTES = "CASE WHEN k % 2 = 0 THEN 'even=yes;k=' || k ELSE 'k=' || k END"
+_GRANT = "'p' || (({n}) % 4) || '=' || (1 + {r} % 127)"
+GRANTS = f"CASE WHEN k % 3 = 0 THEN CASE WHEN k % 4 < (k + 1) % 4 THEN {_GRANT.format(n='k', r='k')} || ';' || {_GRANT.format(n='k + 1', r='7 * k')} ELSE {_GRANT.format(n='k + 1', r='7 * k')} || ';' || {_GRANT.format(n='k', r='k')} END ELSE {_GRANT.format(n='k', r='k')} END"
 
 
 def _row(source: str, **given: str) -> str:
@@ -23,12 +27,12 @@ def ledger(namespace: str = "all", tag: str = "", with_marks: bool = True) -> st
     rows = [
         _row(on("create"), delta_index="0", kind="'create_inode'", **common),
         _row(on("create"), delta_index="1", kind="'bind_direntry'", **common, **edge("0")),
-        _row(on("create"), delta_index="2", kind="'append_file_revision'", revision_no="1", content_id="content_id", **common),
-        _row(on("revise"), delta_index="0", kind="'append_file_revision'", revision_no="1 + revs", content_id="content_id", **common),
+        _row(on("create"), delta_index="2", kind="'append_file_revision'", revision_no="1", content_id="content_id", size_bytes="size_bytes", checksum="checksum", **common),
+        _row(on("revise"), delta_index="0", kind="'append_file_revision'", revision_no="1 + revs", content_id="content_id", size_bytes="size_bytes", checksum="checksum", **common),
         _row(on("move"), delta_index="0", kind="'unbind_direntry'", **common, **edge("moves - 1")),
         _row(on("move"), delta_index="1", kind="'bind_direntry'", **common, **edge("moves")),
-        _row(on("describe"), delta_index="0", kind="'append_attributes_revision'", attributes_revision_no="descriptions", attributes="'k=' || k", **common),
-        _row(on("share"), delta_index="0", kind="'append_access_revision'", access_revision_no="shares", boundary="k % 5 = 0", principal="'p' || (k % 4)", rights="1 + k % 127", **common),
+        _row(on("describe"), delta_index="0", kind="'append_attributes_revision'", attributes_revision_no="descriptions", attributes=ATTRIBUTES, **common),
+        _row(on("share"), delta_index="0", kind="'append_access_revision'", access_revision_no="shares", boundary="k % 5 = 0", grants=GRANTS, **common),
         _row(on("delete"), delta_index="0", kind="'unbind_direntry'", **common, **edge("moves")),
         _row(on("delete"), delta_index="1", kind="'tombstone_subtree'", **common),
         _row(on("restore"), delta_index="0", kind="'revoke_subtree_tombstone'", target_seq="deleted_seq", **common),
@@ -41,6 +45,18 @@ def ledger(namespace: str = "all", tag: str = "", with_marks: bool = True) -> st
         for i, kind in enumerate(kinds):
             more = uedge if "direntry" in kind else {"target_seq": target} if target else {}
             rows.append(_row(source, seq=mark, op_index="1 + c_custkey", delta_index=f"{1000 + i} + 2 * c_custkey", kind=f"'{kind}'", committed_by="'usr_' || user_id", committed_at_ms="epoch_us(ts) // 1000", **user, **more))
+    move = f"customer, marks, events WHERE {{}} AND event_id + 1 = late"
+    at_late = {"seq": "late", "op_index": "1 + c_custkey", "committed_by": "'usr_' || user_id", "committed_at_ms": "epoch_us(ts) // 1000", "inode_kind": "'directory'", "name_key": "'user_' || c_custkey", "display_name": "'User_' || c_custkey"}
+    away = f"{NATION} + (c_nationkey + 1) % 25"
+    if namespace == "fork":
+        source = move.format("c_custkey % 11 = 5 AND c_custkey % 7 <> 3")
+        rows.append(_row(source, **at_late | user, delta_index="1000 + 2 * c_custkey", kind="'unbind_direntry'", parent_id=f"{NATION} + c_nationkey"))
+        rows.append(_row(source, **at_late | user, delta_index="1001 + 2 * c_custkey", kind="'bind_direntry'", parent_id=away))
+    if namespace == "main":
+        source, new = move.format("c_custkey % 33 = 27"), {"inode_id": f"{OTHER} + c_custkey"}
+        rows.append(_row(source, **{k: v for k, v in at_late.items() if "name" not in k} | new, delta_index="1000 + 2 * c_custkey", kind="'create_inode'"))
+        rows.append(_row(source, **at_late | new, delta_index="1001 + 2 * c_custkey", kind="'bind_direntry'", parent_id=away))
+    rows.append(_row("(SELECT 1 AS one)", seq="0", op_index="1", delta_index="1", kind="'append_access_revision'", inode_id="0", inode_kind="'directory'", access_revision_no="1", boundary="false", grants="'p0=255;p9=1;root=128'", committed_by="'system'", committed_at_ms="0"))
     for source, inode, parent, display in (
         ("(SELECT 1 AS one)", "0", None, ""),
         ("region", "1 + r_regionkey", "0", "r_name"),
@@ -60,7 +76,7 @@ def ledger(namespace: str = "all", tag: str = "", with_marks: bool = True) -> st
  raw{tag} AS (SELECT event_id + 1 AS seq, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 1000 AS ms FROM events),
  kept{tag} AS (SELECT raw{tag}.*, {FILE} + user_id * 10 + k % 10 AS file_id, ({shift}) % n_docs AS content_id FROM raw{tag}, marks
    WHERE {_KEEP[namespace]} AND NOT (user_id % 7 = 3 AND seq >= s1 AND (user_id % 14 <> 3 OR seq <= s2))),
- numbered{tag} AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS rn FROM kept{tag}),
+ numbered{tag} AS (SELECT kept{tag}.*, v.size_bytes, v.checksum, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS rn FROM kept{tag} LEFT JOIN (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes, md5(coalesce(text, '')) AS checksum FROM documents) v ON v.doc_id = content_id),
  errs{tag} AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'error' AND rn > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS derr FROM numbered{tag}),
  named{tag} AS (SELECT *, CASE WHEN rn = 1 THEN 'create' WHEN event_type = 'error' THEN CASE WHEN derr % 2 = 0 THEN 'delete' ELSE 'restore' END WHEN derr % 2 = 1 THEN 'skip'
    WHEN event_type = 'click' THEN 'revise' WHEN event_type = 'purchase' THEN 'move' WHEN event_type = 'view' THEN 'describe' ELSE 'share' END AS op FROM errs{tag}),
@@ -70,7 +86,7 @@ def ledger(namespace: str = "all", tag: str = "", with_marks: bool = True) -> st
  deltas{tag} AS ({union}),
  binds{tag} AS (SELECT seq, delta_index, parent_id, name_key, display_name, inode_id AS child_id, inode_kind AS child_kind, kind = 'bind_direntry' AS bound FROM deltas{tag} WHERE kind IN ('bind_direntry', 'unbind_direntry')),
  inodes{tag} AS (SELECT inode_id, inode_kind, seq FROM deltas{tag} WHERE kind = 'create_inode'),
- revisions{tag} AS (SELECT inode_id, revision_no, seq, delta_index, content_id, committed_by, committed_at_ms FROM deltas{tag} WHERE kind = 'append_file_revision'),
+ revisions{tag} AS (SELECT inode_id, revision_no, seq, delta_index, content_id, size_bytes, checksum, committed_by, committed_at_ms FROM deltas{tag} WHERE kind = 'append_file_revision'),
  tombs{tag} AS (SELECT inode_id AS root_id, inode_kind, seq, delta_index, kind = 'tombstone_subtree' AS is_set, target_seq, committed_by, committed_at_ms FROM deltas{tag} WHERE kind IN ('tombstone_subtree', 'revoke_subtree_tombstone'))"""
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .registered import more  # noqa: F401  registers what it defines
+from .registered import extra, more  # noqa: F401  they register what they define
 from .registered.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

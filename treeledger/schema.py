@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, MapType, StringType, StructField, StructType
 
 DELTA_COLUMNS = {
     "seq": "bigint",
@@ -16,17 +16,21 @@ DELTA_COLUMNS = {
     "display_name": "string",
     "revision_no": "bigint",
     "content_id": "bigint",
+    "size_bytes": "bigint",
+    "checksum": "string",
     "attributes_revision_no": "bigint",
-    "attributes": "string",
+    "attributes": "map<string,string>",
     "access_revision_no": "bigint",
     "boundary": "boolean",
-    "principal": "string",
-    "rights": "bigint",
+    "grants": "map<string,bigint>",
     "target_seq": "bigint",
     "committed_by": "string",
     "committed_at_ms": "bigint",
 }
-DELTAS = StructType([StructField(c, {"bigint": LongType, "string": StringType, "boolean": BooleanType}[t]()) for c, t in DELTA_COLUMNS.items()])
+_TYPES = {"bigint": LongType(), "string": StringType(), "boolean": BooleanType(), "map<string,string>": MapType(StringType(), StringType()), "map<string,bigint>": MapType(StringType(), LongType())}
+DELTAS = StructType([StructField(c, _TYPES[t]) for c, t in DELTA_COLUMNS.items()])
+#: Grants of one access revision (fixed value).
+MAX_GRANTS = 1_000
 
 #: Delta kinds.
 CREATE, BIND, UNBIND, REVISE = "create_inode", "bind_direntry", "unbind_direntry", "append_file_revision"

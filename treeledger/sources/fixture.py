@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
-NATION, USER, FOLDER, FILE = 1_000, 1_000_000_000, 2_000_000_000_000, 4_000_000_000_000
+NATION, USER, FOLDER, FILE, OTHER = 1_000, 1_000_000_000, 2_000_000_000_000, 4_000_000_000_000, 9_000_000_000_000
 #: Events that a namespace keeps: a condition on seq, user_id and n (number of events).
 NAMESPACES = {"all": "true", "main": "seq <= n div 2 or user_id % 3 in (1, 2)", "fork": "seq <= n div 2 or user_id % 3 in (0, 2)"}
 
@@ -30,7 +30,8 @@ def marks(spark: SparkSession, sf_dir: str) -> dict[str, int]:
 def operations(spark: SparkSession, sf_dir: str, namespace: str = "all") -> DataFrame:
     """One row per event with its operation and the file's counters."""
     m = marks(spark, sf_dir)
-    n_docs = max(1, table(spark, sf_dir, "documents").count())
+    docs = table(spark, sf_dir, "documents")
+    n_docs = max(1, docs.count())
     ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
     ev = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq"), "user_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"), ms.alias("committed_at_ms"))
     ev = ev.where(F.expr(NAMESPACES[namespace].replace("n div", f"{m['n']} div")))
@@ -48,6 +49,9 @@ def operations(spark: SparkSession, sf_dir: str, namespace: str = "all") -> Data
     ev = ev.withColumn("op", op)
     for name, kind in (("revs", "revise"), ("moves", "move"), ("descriptions", "describe"), ("shares", "share")):
         ev = ev.withColumn(name, F.sum((F.col("op") == kind).cast("bigint")).over(upto))
+    body = F.coalesce("text", F.lit(""))
+    values = docs.select(F.col("doc_id").alias("content_id"), F.octet_length(body).cast("bigint").alias("size_bytes"), F.md5(body.cast("binary")).alias("checksum"))
+    ev = ev.join(values, "content_id", "left")
     return ev.withColumn("deleted_seq", F.last(F.when(F.col("op") == "delete", F.col("seq")), ignorenulls=True).over(ahead))
 
 
@@ -56,6 +60,14 @@ def _delta(index: str, kind: str, **given: str) -> str:
     return "named_struct(" + ", ".join(f"'{c}', cast({own.get(c, 'null')} as {t})" for c, t in S.DELTA_COLUMNS.items() if c not in ("seq", "op_index", "committed_by", "committed_at_ms")) + ")"
 
 
+#: The maps of a description and of a share, of the event's number k.
+ATTRIBUTES = "if(k % 2 = 0, map('k', cast(k as string), 'even', 'yes'), map('k', cast(k as string)))"
+GRANTS = "if(k % 3 = 0, map(concat('p', k % 4), 1 + k % 127, concat('p', (k + 1) % 4), 1 + 7 * k % 127), map(concat('p', k % 4), 1 + k % 127))"
+
+
+ROOT_GRANTS = "map('p0', 255, 'p9', 1, 'root', 128)"
+
+
 def _name(moves: str) -> str:
     return f"concat('F', k % 10, if({moves} > 0, concat('-M', {moves}), ''), '.txt')"
 
@@ -73,11 +85,11 @@ def deltas(spark: SparkSession, sf_dir: str, namespace: str = "all") -> DataFram
         return _delta(index, kind, parent_id=_folder(moves), name_key=f"lower({_name(moves)})", display_name=_name(moves), **who)
 
     by_op = {
-        "create": [_delta("0", S.CREATE, **who), edge("1", S.BIND, "0"), _delta("2", S.REVISE, revision_no="1", content_id="content_id", **who)],
-        "revise": [_delta("0", S.REVISE, revision_no="1 + revs", content_id="content_id", **who)],
+        "create": [_delta("0", S.CREATE, **who), edge("1", S.BIND, "0"), _delta("2", S.REVISE, revision_no="1", content_id="content_id", size_bytes="size_bytes", checksum="checksum", **who)],
+        "revise": [_delta("0", S.REVISE, revision_no="1 + revs", content_id="content_id", size_bytes="size_bytes", checksum="checksum", **who)],
         "move": [edge("0", S.UNBIND, "(moves - 1)"), edge("1", S.BIND, "moves")],
-        "describe": [_delta("0", S.ATTRIBUTES, attributes_revision_no="descriptions", attributes="concat('k=', k)", **who)],
-        "share": [_delta("0", S.ACCESS, access_revision_no="shares", boundary="k % 5 = 0", principal="concat('p', k % 4)", rights="1 + k % 127", **who)],
+        "describe": [_delta("0", S.ATTRIBUTES, attributes_revision_no="descriptions", attributes=ATTRIBUTES, **who)],
+        "share": [_delta("0", S.ACCESS, access_revision_no="shares", boundary="k % 5 = 0", grants=GRANTS, **who)],
         "delete": [edge("0", S.UNBIND, "moves"), _delta("1", S.DELETE, **who)],
         "restore": [_delta("0", S.REVOKE, target_seq="deleted_seq", **who), edge("1", S.BIND, "moves")],
     }
@@ -101,6 +113,14 @@ def deltas(spark: SparkSession, sf_dir: str, namespace: str = "all") -> DataFram
         whole(m["s2"], "user_id % 14 = 3", _delta("1000 + 2 * user_id", S.REVOKE, target_seq=str(m["s1"]), **user), user_edge("1001 + 2 * user_id", S.BIND)),
     ]
 
+    if namespace == "fork":  # directories that only the fork moves, to the next nation
+        edge = {"name_key": "concat('user_', user_id)", "display_name": "concat('User_', user_id)"} | user
+        away = f"{NATION} + (c_nationkey + 1) % 25"
+        parts.append(whole(m["late"], "user_id % 11 = 5 and user_id % 7 <> 3", _delta("1000 + 2 * user_id", S.UNBIND, parent_id=f"{NATION} + c_nationkey", **edge), _delta("1001 + 2 * user_id", S.BIND, parent_id=away, **edge)))
+    if namespace == "main":  # directories that only the target has, some where the fork moves one to
+        new = {"inode_id": f"{OTHER} + user_id", **folder}
+        parts.append(whole(m["late"], "user_id % 33 = 27", _delta("1000 + 2 * user_id", S.CREATE, **new), _delta("1001 + 2 * user_id", S.BIND, parent_id=f"{NATION} + (c_nationkey + 1) % 25", name_key="concat('user_', user_id)", display_name="concat('User_', user_id)", **new)))
+
     def genesis(rows: DataFrame, inode: str, parent: str | None, display: str) -> DataFrame:
         own = {"inode_id": inode, **folder}
         both = [_delta(f"2 * ({inode})", S.CREATE, **own)]
@@ -108,6 +128,7 @@ def deltas(spark: SparkSession, sf_dir: str, namespace: str = "all") -> DataFram
             both.append(_delta(f"2 * ({inode}) + 1", S.BIND, parent_id=parent, name_key=f"lower({display})", display_name=display, **own))
         return rows.selectExpr("cast(0 as bigint) seq", f"2 * ({inode}) op_index", f"inline(array({', '.join(both)}))", "'system' committed_by", "cast(0 as bigint) committed_at_ms")
 
+    parts.append(spark.range(1).selectExpr("cast(0 as bigint) seq", "cast(1 as bigint) op_index", f"inline(array({_delta('1', S.ACCESS, inode_id=str(S.ROOT), access_revision_no='1', boundary='false', grants=ROOT_GRANTS, **folder)}))", "'system' committed_by", "cast(0 as bigint) committed_at_ms"))
     parts += [
         genesis(spark.range(1), "cast(0 as bigint)", None, ""),
         genesis(table(spark, sf_dir, "region"), "1 + r_regionkey", str(S.ROOT), "r_name"),
