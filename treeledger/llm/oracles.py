@@ -9,7 +9,7 @@ OP2 = """WITH bytes AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) A
  crc AS (SELECT doc_id, coalesce(source, '') AS source, length(h) // 2 + 8 AS size,
   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(h) // 2), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))),
    lambda a, b: xor(list_reduce([xor(a, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)), a >> 8)), 4294967295) AS text_crc32 FROM bytes),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('interleave-1' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n, CAST(('0x' || substr(md5('interleave-1' || source), 1, 6)) AS BIGINT) AS off FROM crc),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('interleave-1' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), doc_id, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n, CAST(('0x' || substr(md5('interleave-1' || source), 1, 6)) AS BIGINT) AS off FROM crc),
  placed AS (SELECT *, row_number() OVER (ORDER BY (rank * 16777216 + off) // n, source, rank) - 1 AS place, count(*) OVER () AS total FROM ranked)
  SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 24 // total AS INTEGER) AS shard, place - ((place * 24 // total) * total + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
 

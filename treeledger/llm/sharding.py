@@ -1,12 +1,13 @@
 """Proportional stratified interleaving, with DataFrame functions only.
 
-Rows of a source are shuffled by a seeded digest of doc_id and ranked 0 .. n-1; the row of rank r stands at the fraction
+Rows of a source are shuffled by a seeded digest of doc_id and text CRC and ranked 0 .. n-1; the row of rank r stands at the fraction
 ``(r + u) / n``, u being the source's own seeded offset (else all sources of one row would meet at one point). All rows in
 order of fraction are cut into shards of equal counts, so each shard has its share of every source. Law: ``rows`` (counts
 at most one apart). The method mixes sources; it does not keep equal texts together.
 
 Ranks within a source, and places over all rows, come from counts of 4,096 buckets plus a rank inside a bucket, so neither
-a source with a third of all rows nor the global order meets in one task. No text is shuffled: only its size and CRC.
+a source with a third of all rows, nor a doc_id that many texts share, nor the global order meets in one task. The text is read
+once, for its size and CRC; these are written, and nothing else is shuffled.
 
 Defined cases: null source is the source ``''``; null text has size 8 and CRC 0; repeated rows get a slot each; rows that
 tie in digest are ordered by doc_id, CRC and size; an empty table gives no rows; further columns are ignored.
@@ -31,11 +32,11 @@ def _digest(column) -> F.Column:
 def interleaved(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, source, shard, slot of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = _digest(F.col("doc_id"))
-    source = F.coalesce(F.col("source"), F.lit(""))
-    rows = docs.select("doc_id", source.alias("source"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("digest"), F.substring(key, 1, 3).alias("bucket"))
+    sized = written(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "sizes")
+    key = _digest(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
+    rows = sized.select("*", key.alias("digest"), F.substring(key, 1, 3).alias("bucket"))
 
-    counts = docs.select(source.alias("source"), F.substring(key, 1, 3).alias("bucket")).groupBy("source", "bucket").agg(F.count("*").alias("n_bucket"))
+    counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n_bucket"))
     within = Window.partitionBy("source")
     before = counts.select("source", "bucket", (F.sum("n_bucket").over(within.orderBy("bucket")) - F.col("n_bucket")).alias("before"), F.sum("n_bucket").over(within).alias("n_source"))
 
