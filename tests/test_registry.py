@@ -10,7 +10,7 @@ import pytest
 from treeledger import registry
 
 #: A share of the queries; the driver compares all of them.
-CHECKED = ["ledger_deltas", "paths_at", "listdir_at", "effective_rights", "inode_read_allowed", "diff_root", "merge_conflicts", "merge_plan_ops", "retain_bindings", "events_by_kind", "gc_counts", "grep_scoped"]
+CHECKED = ["ledger_deltas", "paths_at", "listdir_at", "effective_rights", "inode_read_allowed", "diff_root", "merge_conflicts", "merge_plan_ops", "retain_bindings", "events_by_kind", "gc_counts", "grep_scoped", "grep_over_lines", "stat_by_path", "walk_dfs", "index_reorganized_and_pruned", "preconditions_over_tables", "merge_execution", "namespace_statistics"]
 
 
 def rows(frame):

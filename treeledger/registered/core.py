@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import changes, families, reads, retention, stats, tree
 from ..operators.asof import asof_join, intervals
 from ..sources import fixture
-from ..sources.shared import stored
+from ..sources.shared import remains, stored
 from . import sql
 
 DEPTH = fixture.S.MAX_DEPTH
@@ -31,7 +31,7 @@ class Ledger:
     def deltas(self, namespace: str = "all") -> DataFrame:
         """The log as stored, in a folder a kind: made once an application, and filters on kind and seq reach the files."""
         key = (self.spark.sparkContext.applicationId, self.dir, namespace)
-        if key not in _STORED:
+        if key not in _STORED or not remains(_STORED[key]):
             _STORED[key] = stored(fixture.deltas(self.spark, self.dir, namespace), f"log-{namespace}", ["kind"])
         return _STORED[key]
 
@@ -212,14 +212,15 @@ def _(g):
 def _(g):
     from pyspark.sql import Window
 
-    rows = g.view().walk().select("inode_id", "path", "path_keys")
-    # places over all rows come from counts by top directories and a rank within each
-    top = F.coalesce(F.concat_ws("/", F.slice("path_keys", 1, 3)), F.lit(""))
-    rows = rows.withColumn("top", F.slice("path_keys", 1, 3)).withColumn("part", top)
-    counts = rows.groupBy("top", "part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("top")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("path_keys"))
-    return rows.join(before, "part").select((F.col("before") + rank).alias("position"), "inode_id", "path")
+    rows = g.view().paths().select("inode_id", "path", "path_keys")
+    # places over all rows come from counts by nation and by user directory, and a rank within the latter
+    rows = rows.withColumn("one", F.slice("path_keys", 1, 2)).withColumn("two", F.slice("path_keys", 1, 3))
+    small = rows.groupBy("one", "two").agg(F.count("*").alias("n"))
+    large = small.groupBy("one").agg(F.sum("n").alias("n"))
+    large = large.select("one", (F.sum("n").over(Window.orderBy("one")) - F.col("n")).alias("before"))  # a row a nation
+    small = small.select("one", "two", (F.sum("n").over(Window.partitionBy("one").orderBy("two")) - F.col("n")).alias("within"))
+    rank = F.row_number().over(Window.partitionBy("one", "two").orderBy("path_keys"))
+    return rows.join(small, ["one", "two"]).join(large, "one").select((F.col("before") + F.col("within") + rank).alias("position"), "inode_id", "path")
 
 
 @query("walk_page_keyset", f"SELECT path FROM paths WHERE key_path > (SELECT key_path FROM paths WHERE path = {_LISTED}) ORDER BY key_path LIMIT 50", MID)

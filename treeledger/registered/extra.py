@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import content, families, grep, merge, namespaces, postings, reads, retention
+from ..operators import content, families, grep, namespaces, postings, reads, retention, scans
 from ..plans import commit, compaction, merging, ordering
-from ..sources import fixture
-from ..sources.shared import stored
+from ..sources import fixture, log
+from ..sources.shared import folder, stored
 from . import sql
 from .core import _ASKED, _REV, _SIZES, DEPTH, MID, _asked, query
-from .more import _GRAMS, _MERGE, _classified
+from .more import _GRAMS, _MERGE, _classified, _done
 
 # ---- namespaces and snapshots
 
@@ -270,3 +272,46 @@ def _(g):
 @query("grep_over_lines", f"WITH l AS (SELECT content_id, line, line_no, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY content_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, lead(line) OVER (PARTITION BY content_id ORDER BY line_no) AS next FROM (SELECT content_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM ({_SIZES}))) SELECT content_id, CAST(line_no AS BIGINT) AS line_no, CAST(before + strlen(line) - 1 AS BIGINT) AS byte_offset, strlen(line) > 512 AS line_truncated FROM l WHERE ends_with(line, '.') AND starts_with(next, 'T')", None)
 def _(g):
     return grep.grep(g.contents(), grep.postings(g.contents()), r"\.\nT").select("content_id", "line_no", "byte_offset", "line_truncated")
+
+
+# ---- scans of stored families
+
+
+def _run(g) -> dict[str, DataFrame]:
+    path = f"{folder(g.spark)}/run-{uuid.uuid4().hex}"
+    log.write_run({"revisions": families.revisions(g.deltas()).where(F.col("seq") <= g.m["mid"])}, path)
+    return {"revisions": g.spark.read.parquet(f"{path}/revisions")}
+
+
+@query("scan_range_page", "SELECT inode_id, revision_no, seq FROM revisions, marks WHERE seq <= mid AND inode_id >= 4000000000100 AND inode_id < 4000000000900 ORDER BY inode_id, revision_no LIMIT 40")
+def _(g):
+    return scans.scan_range(_run(g)["revisions"], "inode_id", 4_000_000_000_100, 4_000_000_000_900, 40, ["revision_no"]).select("inode_id", "revision_no", "seq")
+
+
+@query("find_row", "SELECT inode_id, revision_no, seq, content_id FROM revisions, marks WHERE seq <= mid AND revision_no = 1 AND inode_id = (SELECT min(inode_id) FROM revisions, marks WHERE seq <= mid)")
+def _(g):
+    rows = _run(g)["revisions"]
+    return scans.find_row(rows, inode_id=rows.agg(F.min("inode_id")).first()[0], revision_no=1).select("inode_id", "revision_no", "seq", "content_id")
+
+
+@query("base_and_tail", "SELECT inode_id, revision_no, seq FROM revisions")
+def _(g):
+    tail = families.revisions(g.deltas()).where(F.col("seq") > g.m["floor"])  # the tail begins before what is folded
+    return scans.combined(_run(g)["revisions"], tail, g.m["mid"], scans.KEYS["revisions"]).select("inode_id", "revision_no", "seq")
+
+
+@query("receipts", "SELECT 'c' || (event_id + 1) AS commit_id, event_id + 1 AS seq FROM events WHERE event_id = 16", None)
+def _(g):
+    again = g.commits().where("commit_id = 'c17'").withColumn("seq", F.col("seq") + 10**6)
+    return scans.receipt(g.commits().unionByName(again), "c17").select("commit_id", "seq")
+
+
+@query("newest_merges", "SELECT 'f' || (event_id % 4) AS source, max(event_id) + 1 AS seq, max(event_id) AS source_through_seq FROM events WHERE event_id % 97 = 0 GROUP BY 1", None)
+def _(g):
+    return scans.newest_merges(_done(g)).select("source", "seq", "source_through_seq")
+
+
+@query("commits_after_budget", "SELECT seq, size_bytes FROM (SELECT *, sum(size_bytes) OVER (ORDER BY seq) AS total FROM (SELECT event_id + 1 AS seq, strlen(props) AS size_bytes FROM events, marks WHERE event_id + 1 > mid ORDER BY 1 LIMIT 200)) WHERE total <= 1000", "")
+def _(g):
+    rows = fixture.table(g.spark, g.dir, "events").select((F.col("event_id") + 1).alias("seq"), F.octet_length("props").cast("bigint").alias("size_bytes"))
+    return scans.commits_after(rows, g.m["mid"], 200, 1000).select("seq", "size_bytes")

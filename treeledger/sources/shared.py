@@ -48,3 +48,11 @@ def stored(frame: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
     writer = frame.repartitionByRange(*by, "seq").sortWithinPartitions(*by, "seq").write.partitionBy(*by) if by else frame.write
     writer.parquet(path)
     return spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
+
+
+def remains(frame: DataFrame) -> bool:
+    """Whether the files of a stored table are all still there."""
+    spark = frame.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in frame.inputFiles()]
+    return all(p.getFileSystem(conf).exists(p) for p in paths)
