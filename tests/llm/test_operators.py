@@ -515,14 +515,20 @@ def test_rans_files(docs, rows, empty):
     assert rans.round_trip(empty, BYTES).count() == 0
 
 
-def test_documents_over_block_borders(spark, docs, rows, monkeypatch, tmp_path):
-    monkeypatch.setattr(rans, "BLOCK_IDS", 100)
+def test_documents_over_block_borders(spark):
+    """One document fills more than a block of its file; others lie before and after it."""
+    made = [(i, f"number {i}") for i in range(40)] + [(40, " the" * 2_300_000)] + [(i, f"and {i} more") for i in range(41, 80)]
     lib = library(BYTES)
-    files = rans.write_ids(docs.where("doc_id is not null").coalesce(1), BYTES, f"file://{tmp_path}/ids")
-    spark.sparkContext.setLogLevel("ERROR")
-    names = [r["file"] for r in files.collect()]
-    got = [rans.load(open(f"{tmp_path}/ids/{n}", "rb").read()) for n in names]
-    assert sum(len(g[2]) for g in got) == sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, *_ in rows if i is not None)
+    ids = {i: np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in made if i != 40}
+    the = lib.encode(" the", add_special_tokens=False).ids
+    ids[40] = np.array(the * 2_300_000 + [2], "<u4")
+    got = rans.round_trip(spark.createDataFrame(made, "doc_id long, text string").repartition(3), BYTES).orderBy("start").collect()
+    at = 0
+    assert [r["doc_id"] for r in got] == list(range(80)) and len(ids[40]) > 2 * rans.BLOCK_IDS
+    for r in got:
+        own = ids[r["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(own), zlib.crc32(own.tobytes()))
+        at += len(own)
 
 
 def test_checksums_join():
