@@ -36,6 +36,8 @@ from .textkit import mapped, text_slices
 END_ID = 2
 PROBABILITY_BITS, LOW = 20, np.uint64(1 << 31)
 BLOCK_IDS, LANES = 1 << 20, 4096
+#: Blocks that a task reads.
+BLOCKS_PER_TASK = 4
 #: Ids after which a task closes a file and begins another.
 FILE_IDS = 1 << 23
 #: Files whose offsets may be broadcast.
@@ -255,7 +257,8 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     blocks = files.select("file", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    rows = written(blocks.repartition("file", "block").sortWithinPartitions("file", "block").mapInArrow(work, _READ), "blocks")
+    tasks = max(1, -(-(files.agg(F.sum("n_blocks")).first()[0]) // BLOCKS_PER_TASK))  # told by number: rows are too small to tell by size
+    rows = written(blocks.repartition(tasks, "file", "block").sortWithinPartitions("file", "block").mapInArrow(work, _READ), "blocks")
     whole = rows.where("n = n_tokens").select("file", "doc_id", "within", "n_tokens", F.col("crc").alias("ids_crc32"))
 
     def joined(table: pa.Table) -> pa.Table:
