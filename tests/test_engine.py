@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from treeledger import schema as S
 from treeledger.functions import names
 from treeledger.operators import asof, changes, families, grep, namespaces, postings, reads, retention, tree
-from treeledger.plans import commit, compaction, grams, ordering
+from treeledger.plans import commit, compaction, grams, merging, ordering
 from treeledger.sources import log
 from treeledger.streaming import feed
 
@@ -102,6 +102,21 @@ def test_refused_operations_change_nothing(ledger, operation, code):
     assert e.value.code == code and e.value.index == 1 and t.head == 7 and t.resolve("/z") is None
 
 
+def test_a_part_of_a_namespace_is_planned_on(ledger):
+    spark = ledger.sparkSession
+    ops = [{"kind": "update_attributes", "inode_id": 5, "set": {"new": "1"}}, {"kind": "append_file", "inode_id": 3, "content_id": 9}]
+    part = commit.Tree.load(ledger, 7, most=5, of=spark.createDataFrame([(5,), (3,)], "inode_id long"))  # 6 inodes in all
+    whole = commit.Tree.load(ledger, 7)
+    assert commit.plan(part, ops) == commit.plan(whole, ops) and part.next_inode() == whole.next_inode()
+    with pytest.raises(commit.Refused):
+        commit.plan(part, [{"kind": "delete", "inode_id": 1}])  # not empty
+    for name in ("/c/none", "/b"):
+        with pytest.raises(ValueError, match="not loaded"):
+            part.resolve(name)
+    deleted = commit.Tree.load(ledger, 5, of=spark.createDataFrame([(1,)], "inode_id long"))
+    assert [r["kind"] for r in commit.plan(deleted, [{"kind": "restore_deleted", "inode_id": 1, "deletion_seq": 5}])] == [S.REVOKE, S.BIND]
+
+
 def test_gram_plans():
     hexes = lambda p, i=False: None if (s := grams.plan(p, i)) is None else [sorted(x) for x in s]
     assert hexes("needle") == [[b"nee"], [b"eed"], [b"edl"], [b"dle"]]

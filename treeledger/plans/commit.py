@@ -2,6 +2,7 @@
 
 Writes are sequential in a namespace, so a commit is planned by one process over the few entities that its operations
 name. ``Tree`` holds those; ``load`` reads them from a ledger. Operation k sees what 0 .. k-1 did, and all or none apply.
+Preconditions that are many and of no one commit are checked together, by joins (``holding``).
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.names import fold_name
+from ..functions.names import fold_name, name_key
 from ..operators import families, tree
 from ..operators.asof import newest
+from ..operators.reads import View
+from ..sources.shared import stored
 
 MAX_OPERATIONS, MAX_PRECONDITIONS = 4_096, 1_024
 
@@ -49,6 +52,10 @@ class Tree:
     def __init__(self, head: int = 0) -> None:
         self.head, self.nodes = head, {S.ROOT: Node("directory")}
         self._last: int | None = None
+        self.whole = True
+        self.made: set[int] = set()
+        self.free: set[tuple[int, str]] = set()
+        """Whether all of the namespace is here. Of a part, names are known to be free below inodes that a plan made, and where looked up."""
         self.names: dict[tuple[int, str], int] = {}
         self.below: dict[int, int] = {}
         """Inode of every bound (parent, name key), and how many are bound below an inode."""
@@ -62,6 +69,7 @@ class Tree:
         n = self.own(inode)
         if n.parent is not None:
             self.names.pop((n.parent, fold_name(n.name)), None)
+            self.free.add((n.parent, fold_name(n.name)))
             self.below[n.parent] = self.below.get(n.parent, 1) - 1
         n.parent, n.name, n.bound_at = parent, name, at
         if parent is not None:
@@ -72,39 +80,60 @@ class Tree:
         """A tree to plan on: nodes are copied when they are first changed."""
         out = _Draft(self.head)
         out.nodes, out.names, out.below = dict(self.nodes), dict(self.names), dict(self.below)
+        out.whole, out.made, out.free, out._last = self.whole, set(self.made), set(self.free), self._last
         return out
 
     @classmethod
-    def load(cls, deltas: DataFrame, head: int, most: int = 100_000) -> Tree:
-        """A whole small namespace; ValueError beyond ``most`` inodes."""
-        out = cls(head)
-        rows = newest(families.inodes(deltas), ["inode_id"], head).limit(most + 1).collect()
+    def load(cls, deltas: DataFrame, head: int, most: int = 100_000, of: DataFrame | None = None) -> Tree:
+        """A whole small namespace, or of one of any size the inodes that the operations name (``of``: inode_id) with what is above them;
+        ValueError beyond ``most`` inodes."""
+        out, keep = cls(head), lambda rows, key: rows
+        made = families.inodes(deltas)
+        if of is None:
+            edges = newest(families.bindings(deltas), ["child_id"], head)
+        else:
+            of = stored(of.select("inode_id").distinct(), "named")
+            edges = tree.edges_above(deltas, head, of)[0]
+            ids = of.unionByName(edges.select(F.col("child_id").alias("inode_id"))).unionByName(edges.select(F.col("parent_id").alias("inode_id")))
+            ids = stored(ids.unionByName(of.sparkSession.createDataFrame([(S.ROOT,)], "inode_id bigint")).distinct(), "ids")
+            keep = lambda rows, key: rows.join(ids.select(F.col("inode_id").alias(key)), key, "left_semi")
+            out.whole, out._last = False, made.where(F.col("seq") <= head).agg(F.max("inode_id")).first()[0] or S.ROOT
+        rows = newest(keep(made, "inode_id"), ["inode_id"], head).limit(most + 1).collect()
         if len(rows) > most:
             raise ValueError(f"more than {most} inodes: give the entities that the operations name")
         out.nodes = {r["inode_id"]: Node(r["inode_kind"]) for r in rows}
         out.nodes.setdefault(S.ROOT, Node("directory"))
-        for r in newest(families.bindings(deltas), ["child_id"], head).collect():
+        for r in edges.collect():
             n = out.nodes[r["child_id"]]
             if r["bound"]:
                 out.place(r["child_id"], r["parent_id"], r["display_name"], (r["seq"], r["delta_index"]))
             else:
                 n.deleted = (r["seq"], r["parent_id"], r["display_name"])
-        hidden = {r["root_id"]: r["deletion_seq"] for r in tree.hidden_roots(deltas, head).collect()}
+        if of is not None:
+            left = edges.where("not bound").select("parent_id", "name_key").distinct()  # where a restoration would go
+            out.free = {(r["parent_id"], r["name_key"]) for r in left.collect()}
+            taken = newest(families.bindings(deltas).join(left, ["parent_id", "name_key"], "left_semi"), ["parent_id", "name_key"], head).where("bound")
+            out.names |= {(r["parent_id"], r["name_key"]): r["child_id"] for r in taken.collect()}
+            out.below = {r["parent_id"]: r["count"] for r in newest(keep(families.bindings(deltas), "parent_id"), ["parent_id", "name_key"], head).where("bound").groupBy("parent_id").count().collect()}
+        hidden = {r["root_id"]: r["deletion_seq"] for r in tree.hidden_roots(deltas, head, None if of is None else ids).collect()}
         for i, n in out.nodes.items():
             n.deleted = (hidden[i], *n.deleted[1:]) if i in hidden and n.deleted else None
-        for r in families.revisions(deltas).where(F.col("seq") <= head).orderBy("revision_no").collect():
+        for r in keep(families.revisions(deltas).where(F.col("seq") <= head), "inode_id").orderBy("revision_no").collect():
             n = out.nodes[r["inode_id"]]
             n.revision, n.content = r["revision_no"], r["content_id"]
             n.revisions[n.revision] = n.content
-        for r in newest(families.attributes(deltas), ["inode_id"], head).collect():
+        for r in newest(keep(families.attributes(deltas), "inode_id"), ["inode_id"], head).collect():
             n = out.nodes[r["inode_id"]]
             n.attributes_no, n.attributes = r["attributes_revision_no"], dict(r["attributes"] or {})
-        for r in newest(families.access(deltas), ["inode_id"], head).collect():
+        for r in newest(keep(families.access(deltas), "inode_id"), ["inode_id"], head).collect():
             out.nodes[r["inode_id"]].access_no = r["access_revision_no"]
         return out
 
     def child(self, parent: int, name: str) -> int | None:
-        return self.names.get((parent, fold_name(name)))
+        got = self.names.get((parent, fold_name(name)))
+        if got is None and not self.whole and parent not in self.made and (parent, fold_name(name)) not in self.free:
+            raise ValueError(f"not loaded: {name!r} below {parent}")
+        return got
 
     def next_inode(self) -> int:
         if self._last is None:
@@ -162,6 +191,51 @@ def check(t: Tree, preconditions: list[dict]) -> None:
             raise Refused("precondition_failed", i)
 
 
+def holding(deltas: DataFrame, head: int, asked: DataFrame, max_depth: int = S.MAX_DEPTH) -> DataFrame:
+    """asked with ``holds``: any number of preconditions on the namespace at its head, each as ``check`` decides it. Columns: kind, and
+    those that its kind asks for of path, inode_id, revision_no, seq, bound_at (a struct of seq and delta_index), parent_id, name."""
+    types = {"path": "string", "inode_id": "bigint", "revision_no": "bigint", "seq": "bigint", "bound_at": "struct<seq:bigint,delta_index:bigint>", "parent_id": "bigint", "name": "string"}
+    given = asked.columns
+    rows = asked.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in given})
+    rows = stored(rows.withColumn("_key", name_key("name")), "asked")
+    view = View(deltas, head, max_depth)
+    found = view.resolve(rows.where("kind in ('path_binding', 'path_absence')")).select("path", F.col("inode_id").alias("_found"))
+    rows = rows.join(found, "path", "left")
+    rows = stored(rows.withColumn("_node", F.when(F.col("kind").isin("path_binding", "path_absence"), F.col("_found")).otherwise(F.col("inode_id"))), "asked")
+
+    def of(*kinds: str) -> DataFrame:
+        return rows.where(F.col("kind").isin(*kinds)).select(F.col("_node").alias("inode_id")).distinct()
+
+    numbered = ("file_revision", "attributes_revision", "access_revision")
+    made = families.inodes(deltas).where(F.col("seq") <= head).select("inode_id").join(of(*numbered), "inode_id", "left_semi").distinct().withColumn("_made", F.lit(True))
+    revision = view.revision(of("file_revision")).select("inode_id", F.col("revision_no").alias("_file"))
+    attributes = view.attributes(of("attributes_revision")).select("inode_id", F.col("attributes_revision_no").alias("_attributes"))
+    access = newest(families.access(deltas).join(of("access_revision"), "inode_id", "left_semi"), ["inode_id"], head).select("inode_id", F.col("access_revision_no").alias("_access"))
+    edges = families.bindings(deltas).withColumnRenamed("child_id", "inode_id").join(of("path_binding", "inode_binding"), "inode_id", "left_semi")
+    edges = newest(edges, ["inode_id"], head).where("bound").select("inode_id", F.struct("seq", "delta_index").alias("_bound_at"))
+    names = rows.where("kind = 'name_absence'").select("parent_id", F.col("_key").alias("name_key")).distinct()
+    taken = newest(families.bindings(deltas).join(names, ["parent_id", "name_key"], "left_semi"), ["parent_id", "name_key"], head).where("bound").select("parent_id", F.col("name_key").alias("_key"), F.lit(True).alias("_taken"))
+    for more in (made, revision, attributes, access, edges):
+        rows = rows.join(more.withColumnRenamed("inode_id", "_node"), "_node", "left")
+    rows = rows.join(taken, ["parent_id", "_key"], "left")
+    number = lambda c: F.col("_made").isNotNull() & (F.coalesce(c, F.lit(0)) == F.col("revision_no"))
+    bound = F.col("_bound_at").isNotNull() & (F.col("_bound_at.seq") == F.col("bound_at.seq")) & (F.col("_bound_at.delta_index") == F.col("bound_at.delta_index"))
+    holds = {
+        "namespace_head": F.col("seq") == head,
+        "file_revision": number("_file"),
+        "path_binding": bound,
+        "inode_binding": bound,
+        "attributes_revision": number("_attributes"),
+        "access_revision": number("_access"),
+        "path_absence": F.col("_node").isNull(),
+        "name_absence": F.col("_taken").isNull(),
+    }
+    told = F.raise_error(F.concat(F.lit("unknown precondition: "), F.col("kind"))).cast("boolean")
+    for kind, v in holds.items():
+        told = F.when(F.col("kind") == kind, F.coalesce(v, F.lit(False))).otherwise(told)
+    return rows.select(*given, told.alias("holds"))
+
+
 def plan(t: Tree, operations: list[dict], preconditions: list[dict] = (), committed_by: str = "", committed_at_ms: int = 0) -> list[dict]:
     """Delta rows of one commit at head + 1; the tree moves on only if all operations apply.
 
@@ -200,6 +274,7 @@ def plan(t: Tree, operations: list[dict], preconditions: list[dict] = (), commit
         begin()
         inode = work.next_inode()
         work.nodes[inode] = Node(kind)
+        work.made.add(inode)
         emit(k, S.CREATE, inode)
         bind(k, inode, parent, name)
         if kind == "file":
@@ -331,4 +406,5 @@ def plan(t: Tree, operations: list[dict], preconditions: list[dict] = (), commit
         else:
             raise Refused("unknown_operation", k)
     t.nodes, t.names, t.below, t.head = work.nodes, work.names, work.below, seq
+    t.made, t.free, t._last = work.made, work.free, work._last
     return rows

@@ -186,8 +186,8 @@ def _(g):
 
 @query("planned_attributes", f"SELECT p.inode_id, coalesce(t.attributes_revision_no, 0) + 1 AS attributes_revision_no, CASE WHEN t.attributes IS NULL THEN 'new=1' WHEN starts_with(t.attributes, 'even') THEN t.attributes || ';new=1' ELSE t.attributes || ';new=1' END AS attributes FROM (SELECT * FROM paths WHERE inode_kind = 'file' ORDER BY inode_id LIMIT 40) p LEFT JOIN att t USING (inode_id)", MID + ", " + _REV)
 def _(g):
-    t = commit.Tree.load(g.deltas(), g.m["mid"])
     ids = [r["inode_id"] for r in g.view().files().select("inode_id").orderBy("inode_id").limit(40).collect()]
+    t = commit.Tree.load(g.deltas(), g.m["mid"], of=g.spark.createDataFrame([(i,) for i in ids], "inode_id bigint"))
     rows = commit.plan(t, [{"kind": "update_attributes", "inode_id": i, "set": {"new": "1"}} for i in ids])
     return g.spark.createDataFrame([tuple(r.values()) for r in rows], fixture.S.DELTAS).select("inode_id", "attributes_revision_no", "attributes")
 
