@@ -117,6 +117,28 @@ def test_a_part_of_a_namespace_is_planned_on(ledger):
     assert [r["kind"] for r in commit.plan(deleted, [{"kind": "restore_deleted", "inode_id": 1, "deletion_seq": 5}])] == [S.REVOKE, S.BIND]
 
 
+def test_preconditions_together_are_those_one_by_one(ledger):
+    asked = [{"kind": "namespace_head", "seq": s} for s in (6, 7)]
+    asked += [{"kind": k, "inode_id": i, "revision_no": n} for k in ("file_revision", "attributes_revision", "access_revision") for i in (3, 5, 99) for n in (0, 1, 2)]
+    asked += [{"kind": "path_absence", "path": p} for p in ("/", "/A/H.txt", "/a/none", "/c/g.txt", "/c/g.txt")]
+    asked += [{"kind": "name_absence", "parent_id": p, "name": n} for p, n in ((0, "A"), (0, "b"), (4, "G.TXT"), (1, "f.txt"))]
+    asked += [{"kind": k, **of, "bound_at": at} for at in ((6, 1), (7, 1), (1, 1)) for k, of in (("path_binding", {"path": "/c/G.TXT"}), ("inode_binding", {"inode_id": 1}), ("inode_binding", {"inode_id": 3}))]
+    t = commit.Tree.load(ledger, 7)
+
+    def holds(p):
+        try:
+            commit.check(t, [p])
+        except commit.Refused:
+            return False
+        return True
+
+    columns = ["no", "kind", "path", "inode_id", "revision_no", "seq", "bound_at", "parent_id", "name"]
+    rows = [tuple(({"no": i} | p).get(c) for c in columns) for i, p in enumerate(asked)]
+    df = ledger.sparkSession.createDataFrame(rows, "no int, kind string, path string, inode_id long, revision_no long, seq long, bound_at struct<seq:long,delta_index:long>, parent_id long, name string")
+    got = {r["no"]: r["holds"] for r in commit.holding(ledger, 7, df).collect()}
+    assert got == {i: holds(p) for i, p in enumerate(asked)} and {True, False} <= set(got.values())
+
+
 def test_gram_plans():
     hexes = lambda p, i=False: None if (s := grams.plan(p, i)) is None else [sorted(x) for x in s]
     assert hexes("needle") == [[b"nee"], [b"eed"], [b"edl"], [b"dle"]]

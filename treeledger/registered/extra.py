@@ -166,22 +166,12 @@ def _(g):
 
 @query("preconditions_over_tables", f"SELECT a.path, 'path_absence' AS kind, p.inode_id IS NULL AS holds FROM {_ASKED} a LEFT JOIN paths p ON lower(p.path) = lower(a.path) UNION ALL SELECT a.path, 'file_revision', coalesce(r.revision_no, 0) = 1 FROM {_ASKED} a JOIN paths p ON lower(p.path) = lower(a.path) LEFT JOIN rev r USING (inode_id)", MID + ", " + _REV)
 def _(g):
-    """Checked one by one against the namespace as it is at mid; a namespace that a driver plans on is small."""
-    t = commit.Tree.load(g.deltas(), g.m["mid"])
-    rows = []
-
-    def holds(p: dict) -> bool:
-        try:
-            commit.check(t, [p])
-        except commit.Refused:
-            return False
-        return True
-
-    for (path,) in _asked(g).collect():
-        rows.append((path, "path_absence", holds({"kind": "path_absence", "path": path})))
-        if (inode := t.resolve(path)) is not None:
-            rows.append((path, "file_revision", holds({"kind": "file_revision", "inode_id": inode, "revision_no": 1})))
-    return g.spark.createDataFrame(rows, "path string, kind string, holds boolean")
+    """Checked together against the namespace as it is at mid."""
+    paths = stored(_asked(g), "paths")
+    found = g.view().resolve(paths).select("path", "inode_id")
+    absence = paths.select("path", F.lit("path_absence").alias("kind"), F.lit(None).cast("bigint").alias("inode_id"), F.lit(None).cast("bigint").alias("revision_no"))
+    revision = paths.join(found, "path").select("path", F.lit("file_revision").alias("kind"), "inode_id", F.lit(1).cast("bigint").alias("revision_no"))
+    return commit.holding(g.deltas(), g.m["mid"], absence.unionByName(revision), DEPTH).select("path", "kind", "holds")
 
 
 @query("planned_attributes", f"SELECT p.inode_id, coalesce(t.attributes_revision_no, 0) + 1 AS attributes_revision_no, CASE WHEN t.attributes IS NULL THEN 'new=1' WHEN starts_with(t.attributes, 'even') THEN t.attributes || ';new=1' ELSE t.attributes || ';new=1' END AS attributes FROM (SELECT * FROM paths WHERE inode_kind = 'file' ORDER BY inode_id LIMIT 40) p LEFT JOIN att t USING (inode_id)", MID + ", " + _REV)
