@@ -209,6 +209,38 @@ def test_ordering_leaves_a_directory_before_its_deletion():
         ordering.ordered({1: {"action": "create", "parent": 2, "name": "a"}, 2: {"action": "create", "parent": 1, "name": "b"}}, {})
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_merge_operations_of_any_number_can_be_applied_in_order(spark, monkeypatch, rounds):
+    monkeypatch.setattr(merging, "ROUNDS", rounds, raising=False)
+    bind = lambda i, p, n: dict.fromkeys(S.DELTA_COLUMNS) | {"seq": 1, "op_index": i, "delta_index": i, "kind": S.BIND, "inode_id": i, "inode_kind": "file", "parent_id": p, "name_key": n, "display_name": n.upper()}
+    held = {i: (0, f"n{i}") for i in range(1, 41)} | {50: (0, "d"), 51: (50, "x"), 52: (50, "y"), 70: (0, "other"), 71: (0, "swap")}
+    target = spark.createDataFrame([tuple(bind(i, *at)[c] for c in S.DELTA_COLUMNS) for i, at in held.items()], S.DELTAS)
+    moves = {i: ("move", 0, f"n{i % 20 + 1}") for i in range(1, 21)}  # a ring
+    moves |= {i: ("move", 0, f"n{i + 1}") for i in range(21, 41)}  # a chain to a free name
+    moves |= {50: ("delete", None, None), 51: ("move", 60, "in"), 52: ("move_update", 61, "deep"), 60: ("create", 0, "e"), 61: ("create", 60, "sub"), 62: ("create", 0, "d"), 70: ("update", 0, "other"), 71: ("restore", 61, "z")}
+    rows = [(i, a, None, p, n, n and n.upper()) for i, (a, p, n) in moves.items()] + [(99, "move", "name", 0, "q", "Q")]
+    plan = spark.createDataFrame(rows, "inode_id long, action string, conflict string, ours_edge_parent long, ours_edge_key string, ours_edge_name string")
+    done = merging.execution(plan, target, 1).orderBy("position").collect()
+    assert [r["position"] for r in done] == list(range(len(done)))
+    told = sorted((r["inode_id"], r["action"]) for r in done if r["action"] != "park")
+    assert told == sorted((i, a) for i, (x, _, _) in moves.items() for a in x.split("_")) and sum(r["action"] == "park" for r in done) == 1
+    where, now, made = dict(held), {at: i for i, at in held.items()}, {0}
+    del where[71], now[0, "swap"]
+    for r in done:
+        i, a = r["inode_id"], r["action"]
+        if a == "update":
+            continue
+        assert a != "delete" or not any(p == i for p, _ in where.values())
+        if i in where:
+            del now[where.pop(i)]
+        if a != "delete":
+            at = (r["parent_id"], r["name"].lower())
+            assert at not in now and r["parent_id"] in made
+            now[at], where[i] = i, at
+            made |= {i} if a == "create" else set()
+    assert {i: at for i, at in where.items() if i != 70} == {i: (p, n) for i, (a, p, n) in moves.items() if p is not None and a != "update"}
+
+
 def test_reads_go_by_name_key(ledger):
     v = reads.View(ledger, 7)
     assert v.locate("/C/g.TXT") == (3, "/c/g.txt") and v.locate("/") == (0, "/") and v.locate("/a/nothing") is None
