@@ -7,7 +7,7 @@ from treeledger import schema as S
 from treeledger.functions import names
 from treeledger.operators import asof, changes, families, grep, namespaces, postings, reads, retention, tree
 from treeledger.plans import commit, compaction, grams, merging, ordering
-from treeledger.sources import log
+from treeledger.sources import log, shared
 from treeledger.streaming import feed
 
 
@@ -271,6 +271,12 @@ def test_too_deep_trees_are_refused(spark):
         tree.chains(edges, 4)
 
 
+def test_layouts_by_a_given_order(spark):
+    rows = spark.createDataFrame([(1, 10, 1), (1, 9, 3_000_000), (2, 5, 7)], "content_id long, size_bytes long, seq long").withColumn("best", F.expr("size_bytes * 1000000 + seq"))
+    assert {tuple(r)[:3] for r in retention.keep_layouts(rows).collect()} == {(1, 10, 1), (2, 5, 7)}
+    assert {tuple(r)[:3] for r in retention.keep_layouts(rows, "best").collect()} == {(1, 9, 3_000_000), (2, 5, 7)}
+
+
 def test_rights_of_many_principals(ledger):
     t = commit.Tree.load(ledger, 7)
     rows = commit.plan(t, [{"kind": "update_access", "path": "/a", "grants": {"x": 3, "y": 4}}, {"kind": "update_access", "path": "/a/b", "grants": {"x": 8}, "boundary": True}])

@@ -55,10 +55,10 @@ def content_heads(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("inode_id").agg(F.max_by(F.struct(*rest), F.struct("size_bytes", "seq", "delta_index")).alias("r")).select("inode_id", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
-def keep_layouts(rows: DataFrame) -> DataFrame:
-    """Of each content the longest layout, the newest of equals."""
+def keep_layouts(rows: DataFrame, *first: str) -> DataFrame:
+    """Of each content the longest layout, the newest of equals; or the greatest by other columns, and then so."""
     rest = [c for c in rows.columns if c != "content_id"]
-    return rows.groupBy("content_id").agg(F.max_by(F.struct(*rest), F.struct("size_bytes", "seq")).alias("r")).select("content_id", *(F.col(f"r.{c}").alias(c) for c in rest))
+    return rows.groupBy("content_id").agg(F.max_by(F.struct(*rest), F.struct(*first, "size_bytes", "seq")).alias("r")).select("content_id", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
 def kept_inodes(deltas: DataFrame, head: int, floor: int, max_depth: int = S.MAX_DEPTH) -> DataFrame:
