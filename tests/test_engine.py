@@ -271,6 +271,36 @@ def test_too_deep_trees_are_refused(spark):
         tree.chains(edges, 4)
 
 
+def test_chains_below_one_node_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(tree, "SHARE", 100, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    edges = spark.createDataFrame([(1, 0), (2, 1), (3, 2), *((i, 3) for i in range(10, 810))], "child_id long, parent_id long")
+    got = tree.chains(edges)
+    for c in ("adaptive.coalescePartitions.enabled", "autoBroadcastJoinThreshold"):
+        spark.conf.unset(f"spark.sql.{c}")
+    assert {r["n"] for r in got.where("child_id >= 10").select(F.size("chain").alias("n")).collect()} == {4} and got.count() == 803
+    files = got.where("child_id >= 10").groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in files) < 500  # all wait for node 3, then for node 1, then for the root
+
+
+@pytest.fixture
+def spread(spark):
+    """Shuffles as on large tables: nothing is broadcast or coalesced."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_one_large_commit_is_stored_by_several_tasks(spread):
+    rows = spread.range(1000).selectExpr("'create_inode' kind", "cast(0 as bigint) seq", "id delta_index")
+    got = shared.stored(rows, "log", ["kind"])
+    assert got.count() == 1000 and max(r["count"] for r in got.groupBy(F.input_file_name()).count().collect()) < 1000
+
+
 def test_layouts_by_a_given_order(spark):
     rows = spark.createDataFrame([(1, 10, 1), (1, 9, 3_000_000), (2, 5, 7)], "content_id long, size_bytes long, seq long").withColumn("best", F.expr("size_bytes * 1000000 + seq"))
     assert {tuple(r)[:3] for r in retention.keep_layouts(rows).collect()} == {(1, 10, 1), (2, 5, 7)}

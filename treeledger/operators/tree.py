@@ -1,13 +1,16 @@
 """The tree as of a sequence: parents, ancestor chains, visibility and paths.
 
 Chains are built by pointer doubling: after k joins every node holds its nearest 2^k ancestors. Every step is written to the
-shared folder and the steps end when no chain grows, so a tree costs as many as its own depth asks for; one deeper than
-is legal (128), or with a cycle, is refused. Reads of a few inodes climb from these alone: their edges are picked
+shared folder and takes only chains that may still grow, so a tree costs as many as its own depth asks for; one deeper than
+is legal (128), or with a cycle, is refused. All chains soon lead to the few nodes near the root, so the rows that wait for one of these
+are dealt out. Reads of a few inodes climb from these alone: their edges are picked
 from the ledger level by level, and the chains are built of those.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,25 +58,41 @@ def edges_above(deltas: DataFrame, at: int, of: DataFrame, max_depth: int = S.MA
     raise TooDeep(f"over {max_depth} levels")
 
 
+#: Rows of one key that a task of a join gets at most, about (fixed value).
+SHARE = 100_000
+
+
+def join_dealt(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """rows, left joined with facts (one row a key). Keys of over SHARE rows are dealt out by a hash of column ``by``, and their facts
+    repeated as often; such keys are told to all tasks, one at most for every SHARE rows."""
+    heavy = [(r[key], -(-r["count"] // SHARE)) for r in rows.groupBy(key).count().where(F.col("count") > SHARE).collect()]
+    if not heavy:
+        return rows.join(facts, key, "left")
+    told = F.broadcast(rows.sparkSession.createDataFrame(heavy, f"{key} bigint, _parts bigint"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(told, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    right = facts.join(told, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], "left").drop("_part")
+
+
 def chains(edges: DataFrame, max_depth: int = S.MAX_DEPTH, cyclic: bool = False, levels: int | None = None) -> DataFrame:
     """For edges (child_id, parent_id, …): child_id, chain (the node, then its ancestors, nearest first; a struct of the edge's
     columns each) and tip, the node above the last one. A node without an edge ends a chain. Chains that still grow at the
-    greatest depth are refused, unless ``cyclic`` ones are asked for. Where the levels are known, nothing is written between."""
-    now = edges.select("child_id", F.array(F.struct(*edges.columns)).alias("chain"), F.col("parent_id").alias("tip"), F.lit(True).alias("grew"))
-    now = stored(now, "chains") if levels is None else now
-    reach = 1
-    while reach <= (max_depth if levels is None else levels - 1):
-        up = now.select(F.col("child_id").alias("tip"), F.col("chain").alias("more"), F.col("tip").alias("next"))
+    greatest depth are refused, unless ``cyclic`` ones are asked for. Where the levels are known, there are no more steps than these need."""
+    now = stored(edges.select("child_id", F.array(F.struct(*edges.columns)).alias("chain"), F.col("parent_id").alias("tip")), "chains")
+    ends = F.lit(False) if not now.where(F.col("child_id") == S.ROOT).isEmpty() else F.col("tip") == S.ROOT
+    ended, now, reach = [now.where(ends)], now.where(~ends), 1
+    while reach <= (max_depth if levels is None else levels - 1) and not now.isEmpty():
+        up = reduce(DataFrame.unionByName, [*ended, now]).select(F.col("child_id").alias("tip"), F.col("chain").alias("more"), F.col("tip").alias("next"))
         found = F.col("more").isNotNull()
-        now = now.join(up, "tip", "left").select("child_id", F.when(found, F.concat("chain", "more")).otherwise(F.col("chain")).alias("chain"), F.when(found, F.col("next")).otherwise(F.col("tip")).alias("tip"), found.alias("grew"))
+        step = join_dealt(now, up, "tip", "child_id").select("child_id", F.when(found, F.concat("chain", "more")).otherwise(F.col("chain")).alias("chain"), F.when(found, F.col("next")).otherwise(F.col("tip")).alias("tip"), found.alias("grew"))
+        step = stored(step, "chains")
         reach *= 2
-        if levels is None:
-            now = stored(now, "chains")
-            if now.where("grew").isEmpty():
-                return now.drop("grew")
-    if levels is None and not cyclic and not now.where(F.size("chain") > max_depth).isEmpty():
-        raise TooDeep(f"a chain of over {max_depth} parents")
-    return now.drop("grew")
+        if levels is None and not cyclic and reach > max_depth and not step.where(F.size("chain") > max_depth).isEmpty():
+            raise TooDeep(f"a chain of over {max_depth} parents")
+        ended.append(step.where(~F.col("grew") | ends).drop("grew"))
+        now = step.where(F.col("grew") & ~ends).drop("grew")
+    return reduce(DataFrame.unionByName, [*ended, now])
 
 
 def _bound(deltas: DataFrame, at: int, max_depth: int, of: DataFrame | None) -> tuple[DataFrame, int | None]:

@@ -45,7 +45,8 @@ def folder(spark: SparkSession) -> str:
 def stored(frame: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
     """The rows of frame, written once (in folders by some columns, in order of seq) and read again: computed once, and kept when executors are lost."""
     spark, path = frame.sparkSession, f"{folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = frame.repartitionByRange(*by, "seq").sortWithinPartitions(*by, "seq").write.partitionBy(*by) if by else frame.write
+    keys = [*by, "seq", *(c for c in ("delta_index",) if c in frame.columns)]  # one commit may be most of a folder
+    writer = frame.repartitionByRange(*keys).sortWithinPartitions(*by, "seq").write.partitionBy(*by) if by else frame.write
     writer.parquet(path)
     return spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
 
