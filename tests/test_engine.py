@@ -301,6 +301,13 @@ def test_one_large_commit_is_stored_by_several_tasks(spread):
     assert got.count() == 1000 and max(r["count"] for r in got.groupBy(F.input_file_name()).count().collect()) < 1000
 
 
+def test_a_commit_of_any_size_is_appended_unsorted(ledger, tmp_path, monkeypatch):
+    monkeypatch.delattr(type(ledger), "sortWithinPartitions")  # would hold the commit in one task's memory
+    log.append(ledger, f"{tmp_path}/log")
+    files = log.read(ledger.sparkSession, f"{tmp_path}/log").withColumn("file", F.input_file_name()).groupBy("seq").agg(F.count_distinct("file").alias("n"))
+    assert files.where("n > 1").count() == 0 and files.count() == 8
+
+
 def test_layouts_by_a_given_order(spark):
     rows = spark.createDataFrame([(1, 10, 1), (1, 9, 3_000_000), (2, 5, 7)], "content_id long, size_bytes long, seq long").withColumn("best", F.expr("size_bytes * 1000000 + seq"))
     assert {tuple(r)[:3] for r in retention.keep_layouts(rows).collect()} == {(1, 10, 1), (2, 5, 7)}

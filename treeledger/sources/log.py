@@ -16,14 +16,14 @@ class Taken(ValueError):
 
 
 def append(deltas: DataFrame, path: str, number: int | None = None) -> None:
-    """Appends a batch of whole commits; each lies in one file. With a number the batch is the log's object of that number, which
+    """Appends a batch of whole commits; each lies in one file, and a file's rows are not sorted, as a commit may be of any size. With a number the batch is the log's object of that number, which
     only one writer can put: the mark is made if absent, before any row is written."""
     if number is not None:
         spark = deltas.sparkSession
         mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_taken-{number:020d}")
         if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(mark):
             raise Taken(f"object {number} is there")
-    deltas.select(*S.DELTA_COLUMNS).repartitionByRange("seq").sortWithinPartitions("seq", "delta_index").write.mode("append").parquet(path)
+    deltas.select(*S.DELTA_COLUMNS).repartitionByRange("seq").write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
