@@ -308,6 +308,15 @@ def test_a_commit_of_any_size_is_appended_unsorted(ledger, tmp_path, monkeypatch
     assert files.where("n > 1").count() == 0 and files.count() == 8
 
 
+def test_rows_of_one_namespace_are_dealt_out(spread):
+    n = spread.createDataFrame([("main", "p", "active", None, None, 0, 9), ("fork", "p", "active", "main", 500, 500, 900)], namespaces.NAMESPACES)
+    rows = spread.range(1000).selectExpr("'main' namespace_id", "id seq", "cast(0 as bigint) delta_index")
+    got = namespaces.lineage(n, rows)
+    assert {r["reader"]: r["count"] for r in got.groupBy("reader").count().collect()} == {"main": 1000, "fork": 501}
+    parts = got.where("reader = 'main'").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 1000
+
+
 def test_layouts_by_a_given_order(spark):
     rows = spark.createDataFrame([(1, 10, 1), (1, 9, 3_000_000), (2, 5, 7)], "content_id long, size_bytes long, seq long").withColumn("best", F.expr("size_bytes * 1000000 + seq"))
     assert {tuple(r)[:3] for r in retention.keep_layouts(rows).collect()} == {(1, 10, 1), (2, 5, 7)}

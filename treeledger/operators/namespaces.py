@@ -63,13 +63,20 @@ def page(namespaces: DataFrame, after: str | None = None, limit: int = PAGE) ->
     return (rows if after is None else rows.where(F.col("namespace_id") > after)).orderBy("namespace_id").limit(limit)
 
 
+#: Tasks, about, that the rows of one namespace are dealt to (fixed value).
+DEALT = 64
+
+
 def lineage(namespaces: DataFrame, deltas: DataFrame) -> DataFrame:
     """Every row that each active namespace reads (reader): its own, and its source's up to the fork point. deltas: with namespace_id.
-    One level of forks; a fork of a fork joins once more."""
+    One level of forks; a fork of a fork joins once more. A namespace's rows are dealt out by a hash, and each lineage row is repeated."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_part")
     own = namespaces.where(F.col("state") == ACTIVE)
-    mine = deltas.join(own.select(F.col("namespace_id").alias("reader"), "fork_point_seq"), F.col("namespace_id") == F.col("reader")).where("fork_point_seq is null or seq > fork_point_seq")
-    theirs = deltas.join(own.where("fork_of is not null").select(F.col("namespace_id").alias("reader"), "fork_of", "fork_point_seq"), F.col("namespace_id") == F.col("fork_of")).where("seq <= fork_point_seq").drop("fork_of")
-    return mine.unionByName(theirs).drop("fork_point_seq")
+    rows = deltas.withColumn("_part", F.pmod(F.xxhash64("seq", "delta_index"), F.lit(DEALT)).cast("int"))
+    mine = rows.join(own.select("namespace_id", F.col("namespace_id").alias("reader"), "fork_point_seq", parts), ["namespace_id", "_part"]).where("fork_point_seq is null or seq > fork_point_seq")
+    theirs = rows.join(own.where("fork_of is not null").select(F.col("fork_of").alias("namespace_id"), F.col("namespace_id").alias("reader"), "fork_point_seq", parts), ["namespace_id", "_part"]).where("seq <= fork_point_seq")
+    out = [*deltas.columns, "reader"]
+    return mine.select(*out).unionByName(theirs.select(*out))
 
 
 def statistics(deltas: DataFrame) -> DataFrame:
