@@ -348,6 +348,23 @@ def test_postings_code():
         postings.coded([3, 3])
 
 
+def test_postings_are_coded_as_they_stream(spark):
+    values = spark.range(3000).select(F.col("id").alias("content_id"), F.lit(1).cast("long").alias("size_bytes"), (F.col("id") * 50).alias("ordinal"))
+    grams = spark.range(3000).select(F.explode(F.array(F.lit("61"), F.lit("62"), F.lit("62"), F.when(F.col("id") == 7, "63"))).alias("gram"), F.col("id").alias("content_id")).where("gram is not null")
+    run = postings.coded_run(grams, values)
+    assert "ollect" not in run._jdf.queryExecution().executedPlan().toString()  # no list is made of a row's numbers
+    got = {(r["gram"], r["first_ordinal"]): bytes(r["postings"]) for r in run.collect()}
+    want = {}
+    for gram, ids in (("61", range(3000)), ("62", range(3000)), ("63", [7])):
+        for stretch in range(3):
+            if numbers := [50 * i for i in ids if 50 * i // postings.STRETCH == stretch]:
+                want[gram, numbers[0]] = postings.coded(numbers)
+    assert got == want
+    assert sorted(map(tuple, postings.read_run(run, values).collect())) == sorted({tuple(r) for r in grams.collect()})
+    with pytest.raises(Exception, match="not postings"):
+        postings.read_run(spark.createDataFrame([("61", b"\x02\x07")], "gram string, postings binary"), values).collect()
+
+
 def test_namespaces(spark):
     n = spark.createDataFrame([], namespaces.NAMESPACES)
     n = namespaces.create(n, "a", "p").withColumn("head_seq", F.lit(9).cast("long"))
